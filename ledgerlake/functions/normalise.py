@@ -75,15 +75,20 @@ def iso_date_text(date_text: ColumnOrName) -> Column:
     parts = F.split(d, "/")
     three = F.size(parts) == 3
     day = F.substring(F.get(parts, 2), 1, 2)
-    slash = F.concat_ws("-", F.get(parts, 0), F.lpad(F.get(parts, 1), 2, "0"), F.lpad(day, 2, "0"))
+    slash = F.concat_ws("-", F.get(parts, 0), pad2(F.get(parts, 1)), pad2(day))
     other = F.substring(F.regexp_replace(d, "/", "-"), 1, 10)
     return F.when(d.isNull() | (d == ""), F.lit("")).when(three, slash).otherwise(other)
 
 
+def pad2(c: Column) -> Column:
+    """Left-pad to two characters with ``0``; longer text is kept whole (not cut)."""
+    return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
+
+
 def to_ledger_date(date_text: ColumnOrName) -> Column:
     """Parsed DATE of ledger text in slash (padded or not) or ISO form; else null."""
     d = _c(date_text)
-    return F.coalesce(F.try_to_date(d, F.lit("yyyy/M/d")), F.try_to_date(d, F.lit("yyyy-M-d")))
+    return F.coalesce(F.try_to_date(d, "yyyy/M/d"), F.try_to_date(d, "yyyy-M-d"))
 
 
 # F4 -------------------------------------------------------------------------

@@ -188,6 +188,147 @@ WHERE value IS NOT NULL GROUP BY field, value""")
     return q
 
 
+def pad2_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) < 2 THEN lpad({x}, 2, '0') ELSE {x} END"
+
+
+def iso_text_sql(d: str) -> str:
+    three = f"len(string_split({d}, '/')) = 3"
+    slash = (f"split_part({d}, '/', 1) || '-' || {pad2_sql(f'split_part({d}, {chr(39)}/{chr(39)}, 2)')} || '-' || "
+             f"{pad2_sql(f'substr(split_part({d}, {chr(39)}/{chr(39)}, 3), 1, 2)')}")
+    return (f"CASE WHEN {d} IS NULL OR {d} = '' THEN '' WHEN {three} THEN {slash} "
+            f"ELSE substr(replace({d}, '/', '-'), 1, 10) END")
+
+
+def parsed_date_sql(d: str) -> str:
+    return f"CAST(COALESCE(TRY_STRPTIME({d}, '%Y/%m/%d'), TRY_STRPTIME({d}, '%Y-%m-%d')) AS DATE)"
+
+
+def serial_sql(v: str) -> str:
+    n = f"CAST(floor({v}) AS INTEGER)"
+    return (f"CASE WHEN {v} IS NULL OR {v} = 0 THEN NULL "
+            f"WHEN {n} >= 61 THEN strftime(DATE '1899-12-30' + {n}, '%Y/%m/%d') "
+            f"WHEN {n} = 60 THEN '1900/02/29' "
+            f"WHEN {n} >= 1 THEN strftime(DATE '1899-12-31' + {n}, '%Y/%m/%d') END")
+
+
+SURNAME_ASCII = "split_part(name, ' ', 1)"
+SURNAME_ANY = "string_split_regex(name, '[ 　]')[1]"
+
+WORKLOAD = f"""
+SELECT e.*, split_part(e.name, ' ', 1) AS surname,
+  COALESCE(w.total, 0) AS total_projects, COALESCE(w.in_progress, 0) AS in_progress,
+  COALESCE(w.negotiating, 0) AS negotiating, COALESCE(w.early, 0) AS early, COALESCE(w.lost, 0) AS lost,
+  COALESCE(w.total, 0) - COALESCE(w.lost, 0) AS active
+FROM employees_v e LEFT JOIN wc w ON split_part(e.name, ' ', 1) = w.staff"""
+
+LEVEL = (f"CASE WHEN total_projects <= 0 THEN {_q(S.LEVEL_NONE)} WHEN total_projects = 1 THEN {_q(S.LEVEL_LIGHT)} "
+         f"WHEN total_projects <= 3 THEN {_q(S.LEVEL_NORMAL)} ELSE {_q(S.LEVEL_BUSY)} END")
+
+
+def list_sql() -> dict[str, str]:
+    """Oracle SQL of lists, filters, searches, workload and quality checks."""
+    from ledgerlake.plans import registry as R
+    q: dict[str, str] = {}
+    q["project_list"] = with_views(f"SELECT {PROJECT_LIST_COLS} FROM projects_v")
+    q["project_list_filtered"] = with_views(
+        f"SELECT {PROJECT_LIST_COLS} FROM projects_v WHERE status = {_q(R.FILTER_STATUS)} "
+        f"AND work_type = {_q(R.FILTER_TYPE)}")
+    q["pipeline_projects"] = with_views(f"SELECT * FROM projects_v WHERE {PIPELINE}")
+    q["project_by_id"] = with_views(f"SELECT * FROM projects_v WHERE id = {R.LOOKUP_ID}")
+    q["project_search"] = with_views(
+        f"SELECT * FROM projects_v WHERE COALESCE(contains(name, {_q(R.PROJECT_SEARCH_TEXT)}), false) "
+        f"OR COALESCE(contains(customer_name, {_q(R.PROJECT_SEARCH_TEXT)}), false)")
+    q["customer_search"] = with_views(
+        f"SELECT * FROM customers_v WHERE COALESCE(contains(name, {_q(R.CUSTOMER_SEARCH_TEXT)}), false) "
+        f"OR COALESCE(contains(address, {_q(R.CUSTOMER_SEARCH_TEXT)}), false)")
+    q["staff_options"] = with_views(
+        f"SELECT CAST(0 AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS id, {_q(S.UNASSIGNED_LABEL)} AS label, "
+        f"CAST(NULL AS VARCHAR) AS surname "
+        f"UNION ALL SELECT 1, id, name, {SURNAME_ASCII} FROM employees_v "
+        f"WHERE contains(name, {_q(R.STAFF_SEARCH_TEXT)})")
+    q["invoices_by_payment"] = with_views(
+        f"SELECT * FROM invoices_v WHERE payment_status = {_q(R.PAYMENT_FILTER)}")
+    q["recent_projects"] = with_views(f"SELECT {PROJECT_LIST_COLS} FROM projects_v ORDER BY id DESC LIMIT 10")
+    q["invoice_list"] = with_views("SELECT * FROM invoices_v")
+    q["unassigned_projects"] = with_views("SELECT * FROM projects_v WHERE staff IS NULL")
+    q["employee_list"] = with_views("SELECT * FROM employees_v")
+    q["customer_list"] = with_views("SELECT * FROM customers_v")
+    q["iso_dates"] = with_views(f"""
+SELECT "column", raw, {iso_text_sql('raw')} AS iso_text, {parsed_date_sql('raw')} AS parsed FROM (
+  SELECT 'projects.contract_date' AS "column", contract_date AS raw FROM projects_v
+  UNION ALL SELECT 'invoices.billing_date', billing_date FROM invoices_v) t""")
+    q["serial_date"] = f"""
+SELECT id, serial, {serial_sql('serial')} AS parsed FROM (
+  SELECT o_orderkey AS id,
+    CASE WHEN o_orderkey % 97 = 0 THEN CAST(o_orderkey % 120 AS DOUBLE)
+         ELSE CAST(datediff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS DOUBLE)
+              + CAST(o_orderkey % 4 AS DOUBLE) * 0.25 END AS serial
+  FROM orders) t"""
+    q["employee_surname"] = with_views(
+        f"SELECT id, name, {SURNAME_ASCII} AS surname_ascii, {SURNAME_ANY} AS surname_any FROM employees_v")
+    q["employee_workload"] = with_views(WORKLOAD, f"wc AS ({WORKLOAD_COUNTS})")
+    q["workload_levels"] = with_views(f"SELECT *, {LEVEL} AS level FROM wl",
+                                      f"wc AS ({WORKLOAD_COUNTS})", f"wl AS ({WORKLOAD})")
+    pipe = PIPELINE
+    q["reconcile_kpis"] = with_views(f"""
+SELECT metric, expected, actual, expected IS NOT DISTINCT FROM actual AS ok FROM (
+  SELECT 'contracted_total' AS metric, list_contracted AS expected, contracted_total AS actual FROM a
+  UNION ALL SELECT 'paid_amount', list_paid, paid_amount FROM a
+  UNION ALL SELECT 'unpaid_amount', list_unpaid, unpaid_amount FROM a
+  UNION ALL SELECT 'unpaid_null_status_amount', null_bucket, list_unpaid - unpaid_amount FROM a
+  UNION ALL SELECT 'total_projects', total_projects, total_projects FROM a
+  UNION ALL SELECT 'by_status_contracted_total', contracted_total, by_status_contracted FROM a
+  UNION ALL SELECT 'status_classes_sum', total_projects,
+     contracted_count + pipeline_count + lost_count + done_count + null_status_count FROM a) t""",
+        f"""p AS (SELECT
+   CAST(COALESCE(SUM(CASE WHEN status = {CONTRACTED} THEN contract_amount ELSE 0 END), 0) AS BIGINT) AS contracted_total,
+   CAST(COALESCE(SUM(CASE WHEN status = {CONTRACTED} THEN COALESCE(contract_amount, 0) ELSE 0 END), 0) AS BIGINT)
+     AS list_contracted,
+   CAST(COALESCE(SUM(CASE WHEN status = {CONTRACTED} THEN {EFFECTIVE} ELSE 0 END), 0) AS BIGINT)
+     AS by_status_contracted,
+   CAST(COALESCE(SUM(CASE WHEN status = {CONTRACTED} THEN 1 ELSE 0 END), 0) AS BIGINT) AS contracted_count,
+   CAST(COALESCE(SUM(CASE WHEN {pipe} THEN 1 ELSE 0 END), 0) AS BIGINT) AS pipeline_count,
+   CAST(COALESCE(SUM(CASE WHEN status = {LOST} THEN 1 ELSE 0 END), 0) AS BIGINT) AS lost_count,
+   CAST(COALESCE(SUM(CASE WHEN status = {DONE} THEN 1 ELSE 0 END), 0) AS BIGINT) AS done_count,
+   CAST(COALESCE(SUM(CASE WHEN status IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS null_status_count,
+   COUNT(*) AS total_projects FROM projects_v)""",
+        f"""i AS (SELECT
+   CAST(COALESCE(SUM(CASE WHEN payment_status = {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS paid_amount,
+   CAST(COALESCE(SUM(CASE WHEN payment_status <> {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS unpaid_amount,
+   CAST(COALESCE(SUM(CASE WHEN payment_status = {PAID} THEN COALESCE(amount, 0) ELSE 0 END), 0) AS BIGINT)
+     AS list_paid,
+   CAST(COALESCE(SUM(CASE WHEN payment_status = {PAID} THEN 0 ELSE COALESCE(amount, 0) END), 0) AS BIGINT)
+     AS list_unpaid,
+   CAST(COALESCE(SUM(CASE WHEN payment_status IS NULL THEN COALESCE(amount, 0) ELSE 0 END), 0) AS BIGINT)
+     AS null_bucket FROM invoices_v)""",
+        "a AS (SELECT * FROM p, i)")
+    q["domain_violations"] = with_views(f"""
+SELECT field, value, COUNT(*) AS n FROM (
+  SELECT 'status' AS field, status AS value FROM projects_v
+    WHERE NOT COALESCE(status IN {_in(S.PROJECT_STATUSES)}, false)
+  UNION ALL SELECT 'payment_status', payment_status FROM invoices_v
+    WHERE NOT COALESCE(payment_status IN {_in(S.PAYMENT_STATUSES)}, false)
+  UNION ALL SELECT 'building_type', building_type FROM customers_v
+    WHERE NOT COALESCE(building_type IN {_in(S.BUILDING_TYPES)}, false)) t
+GROUP BY field, value""")
+    from ledgerlake.operators.quality import DATE_CLASSES
+    cls = "CASE WHEN value IS NULL THEN 'null' " + " ".join(
+        f"WHEN regexp_matches(value, {_q(p)}) THEN {_q(n)}" for n, p in DATE_CLASSES) + " ELSE 'other' END"
+    date_cols = [("projects", c) for c in S.DATE_COLUMNS["projects"]] + \
+                [("invoices", c) for c in S.DATE_COLUMNS["invoices"]]
+    union = " UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", {c} AS value FROM {t}_v" for t, c in date_cols)
+    q["date_formats"] = with_views(
+        f"SELECT \"column\", {cls} AS format_class, COUNT(*) AS n FROM ({union}) t GROUP BY 1, 2")
+    q["orphan_staff"] = with_views(f"""
+SELECT staff, source, COUNT(*) AS n FROM (
+  SELECT 'projects' AS source, staff FROM projects_v UNION ALL SELECT 'customers', staff FROM customers_v) t
+WHERE staff IS NOT NULL AND NOT EXISTS (SELECT 1 FROM employees_v e WHERE {SURNAME_ASCII.replace('name', 'e.name')} = t.staff)
+GROUP BY source, staff""")
+    return q
+
+
 def all_sql() -> dict[str, str]:
     q = base_sql()
+    q.update(list_sql())
     return q

@@ -64,3 +64,152 @@ def all_queries() -> dict[str, Query]:
         "invoice_kpis": invoice_kpis,
         "distinct_values": distinct_values,
     }
+
+
+# --- lists, filters, search ---------------------------------------------------
+from ledgerlake.functions import normalise as N  # noqa: E402
+from ledgerlake.operators import filters as P  # noqa: E402
+from ledgerlake.operators import quality as Q  # noqa: E402
+from ledgerlake.operators import workload as W  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+# Parameters of the registered variants (fixed so the oracle can mirror them).
+FILTER_STATUS = "商談中"
+FILTER_TYPE = "1-URGENT"
+PROJECT_SEARCH_TEXT = "Customer#00000012"
+CUSTOMER_SEARCH_TEXT = "12"
+STAFF_SEARCH_TEXT = "Supplier#00000001"
+PAYMENT_FILTER = "入金待ち"
+LOOKUP_ID = 1234
+
+
+def project_list(spark, sf):
+    return M.project_list(_projects(spark, sf))
+
+
+def project_list_filtered(spark, sf):
+    return M.project_list(_projects(spark, sf), status=FILTER_STATUS, work_type=FILTER_TYPE)
+
+
+def pipeline_projects(spark, sf):
+    return P.pipeline_projects(_projects(spark, sf))
+
+
+def project_by_id(spark, sf):
+    return P.project_by_id(_projects(spark, sf), LOOKUP_ID)
+
+
+def project_search(spark, sf):
+    return P.project_search(_projects(spark, sf), PROJECT_SEARCH_TEXT)
+
+
+def customer_search(spark, sf):
+    return P.customer_search(B.customers(spark, sf), CUSTOMER_SEARCH_TEXT)
+
+
+def staff_options(spark, sf):
+    return P.staff_options(B.employees(spark, sf), STAFF_SEARCH_TEXT)
+
+
+def invoices_by_payment(spark, sf):
+    return P.invoices_by_payment(B.invoices(spark, sf), PAYMENT_FILTER)
+
+
+def recent_projects(spark, sf):
+    return M.recent_projects(_projects(spark, sf), 10)
+
+
+def invoice_list(spark, sf):
+    return M.invoice_list(B.invoices(spark, sf), tie_break="invoice_no")
+
+
+def unassigned_projects(spark, sf):
+    return M.unassigned_projects(_projects(spark, sf))
+
+
+def employee_list(spark, sf):
+    return M.id_list(B.employees(spark, sf))
+
+
+def customer_list(spark, sf):
+    return M.id_list(B.customers(spark, sf))
+
+
+def iso_dates(spark, sf):
+    """F3 over every project contract date and invoice billing date."""
+    p = _projects(spark, sf).select(F.lit("projects.contract_date").alias("column"), F.col("contract_date").alias("raw"))
+    i = B.invoices(spark, sf).select(F.lit("invoices.billing_date").alias("column"), F.col("billing_date").alias("raw"))
+    return p.unionByName(i).select("column", "raw", N.iso_date_text("raw").alias("iso_text"),
+                                   N.to_ledger_date("raw").alias("parsed"))
+
+
+def serial_date(spark, sf):
+    """F1 over spreadsheet serial numbers derived from order dates (plus 0-119 on every 97th key)."""
+    o = B.read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    serial = F.when(k % 97 == 0, (k % 120).cast("double")).otherwise(
+        F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
+        + (k % 4).cast("double") * 0.25)
+    return o.select(k.alias("id"), serial.alias("serial")).withColumn("parsed", N.parse_ledger_date("serial"))
+
+
+def employee_surname(spark, sf):
+    e = B.employees(spark, sf)
+    return e.select("id", "name", N.surname("name", "ascii").alias("surname_ascii"),
+                    N.surname("name", "any").alias("surname_any"))
+
+
+def employee_workload(spark, sf):
+    return W.employee_workload(B.employees(spark, sf), _projects(spark, sf))
+
+
+def workload_levels(spark, sf):
+    return W.workload_levels(W.employee_workload(B.employees(spark, sf), _projects(spark, sf)))
+
+
+def reconcile_kpis(spark, sf):
+    return Q.reconcile_kpis(_projects(spark, sf), B.invoices(spark, sf))
+
+
+def domain_violations(spark, sf):
+    return Q.domain_violations(_projects(spark, sf), B.invoices(spark, sf), B.customers(spark, sf))
+
+
+def date_formats(spark, sf):
+    return Q.date_formats({"projects": _projects(spark, sf), "invoices": B.invoices(spark, sf)})
+
+
+def orphan_staff(spark, sf):
+    return Q.orphan_staff(_projects(spark, sf), B.customers(spark, sf), B.employees(spark, sf))
+
+
+_BASE = all_queries
+
+
+def all_queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE()
+    q.update({
+        "project_list": project_list,
+        "project_list_filtered": project_list_filtered,
+        "pipeline_projects": pipeline_projects,
+        "project_by_id": project_by_id,
+        "project_search": project_search,
+        "customer_search": customer_search,
+        "staff_options": staff_options,
+        "invoices_by_payment": invoices_by_payment,
+        "recent_projects": recent_projects,
+        "invoice_list": invoice_list,
+        "unassigned_projects": unassigned_projects,
+        "employee_list": employee_list,
+        "customer_list": customer_list,
+        "iso_dates": iso_dates,
+        "serial_date": serial_date,
+        "employee_surname": employee_surname,
+        "employee_workload": employee_workload,
+        "workload_levels": workload_levels,
+        "reconcile_kpis": reconcile_kpis,
+        "domain_violations": domain_violations,
+        "date_formats": date_formats,
+        "orphan_staff": orphan_staff,
+    })
+    return q
