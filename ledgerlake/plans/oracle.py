@@ -329,6 +329,8 @@ GROUP BY source, staff""")
 
 
 def all_sql() -> dict[str, str]:
+    from ledgerlake.plans.oracle_changes import change_sql
     q = base_sql()
     q.update(list_sql())
+    q.update(change_sql())
     return q

@@ -213,3 +213,78 @@ def all_queries() -> dict[str, Query]:  # noqa: F811
         "orphan_staff": orphan_staff,
     })
     return q
+
+
+# --- change sets ----------------------------------------------------------------
+from ledgerlake.operators import changes as C  # noqa: E402
+
+
+def _changes(spark, sf, op: str | None = None):
+    ch = B.project_changes(spark, sf)
+    return ch if op is None else ch.where(F.col("op") == op)
+
+
+def normalised_changes(spark, sf):
+    ch = _changes(spark, sf)
+    cr = ch.where(F.col("op") == "create").select("seq", "op", "id", *C.normalised_payload("projects", "create"))
+    up = ch.where(F.col("op") == "update").select("seq", "op", "id", *C.normalised_payload("projects", "update"))
+    return cr.unionByName(up)
+
+
+def garbled_rows(spark, sf):
+    return P.garbled_rows(_changes(spark, sf), "payload.").select("seq", "op", "id", "garbled_field")
+
+
+def validate_changes(spark, sf):
+    return C.validate_changes(_projects(spark, sf), _changes(spark, sf), "projects").drop("payload")
+
+
+def unmatched_changes(spark, sf):
+    v = C.validate_changes(_projects(spark, sf), _changes(spark, sf), "projects")
+    return v.where(F.col("verdict") == C.UNMATCHED).select("seq", "op", "id", "reason")
+
+
+def apply_creates(spark, sf):
+    cur = _projects(spark, sf)
+    v = C.validate_changes(cur, _changes(spark, sf, "create"), "projects")
+    hwm = C.high_water_mark(cur).first()["_hwm"]
+    return C.apply_creates(v.where(F.col("verdict") == C.ACCEPTED), "projects", hwm).drop("_staff_seq")
+
+
+def _apply(op):
+    def run(spark, sf):
+        return C.apply_change_set(_projects(spark, sf), _changes(spark, sf, op), "projects")[0]
+    return run
+
+
+apply_updates = _apply("update")
+apply_deletes = _apply("delete")
+assign_staff = _apply("assign_staff")
+apply_change_set = _apply(None)
+
+
+def cascade_null(spark, sf):
+    _, p, c = C.delete_employees_with_cascade(B.employees(spark, sf), _projects(spark, sf),
+                                              B.customers(spark, sf), B.employee_deletes(spark, sf))
+    return (p.select(F.lit("projects").alias("source"), "id", "staff")
+            .unionByName(c.select(F.lit("customers").alias("source"), "id", "staff")))
+
+
+_BASE2 = all_queries
+
+
+def all_queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE2()
+    q.update({
+        "normalised_changes": normalised_changes,
+        "garbled_rows": garbled_rows,
+        "validate_changes": validate_changes,
+        "unmatched_changes": unmatched_changes,
+        "apply_creates": apply_creates,
+        "apply_updates": apply_updates,
+        "apply_deletes": apply_deletes,
+        "assign_staff": assign_staff,
+        "apply_change_set": apply_change_set,
+        "cascade_null": cascade_null,
+    })
+    return q

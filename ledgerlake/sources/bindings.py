@@ -150,48 +150,45 @@ def project_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 update with a garbled name, 5 update of an unknown id; 6-9 no change.
     Updates carry the whole row: status moves to 契約済 with a contract amount
     and an ISO contract date; fields left out become null.
+
+    Each payload field is its own CASE on ``k % 10`` (not a CASE over whole
+    structs), so field accesses stay small inside generated code.
     """
     p = projects(spark, sf_dir)
     k = F.col("id")
     r = k % 10
-    new_staff = F.when(k % 3 == 0, F.lit("")).otherwise(staff_code((k // 10) % 70))
-    updated = F.struct(
-        F.col("name"),
-        F.when(k % 20 == 11, F.lit("")).otherwise(F.col("customer_name")).alias("customer_name"),
-        F.col("address"), F.col("work_type"), F.col("staff"),
-        F.lit(S.STATUS_CONTRACTED).alias("status"),
-        F.lit("100").alias("probability"),
-        F.col("estimate_amount"),
-        F.col("first_visit"), F.col("scheduled_start"),
-        F.coalesce(F.col("first_visit"), F.lit("")).alias("contract_date"),
-        F.coalesce(F.col("contract_amount"), F.col("estimate_amount")).alias("contract_amount"),
-        F.lit("").alias("note"),
-    )
-    created = F.struct(
-        F.concat(F.lit("New#"), k.cast("string")).alias("name"),
-        F.col("customer_name"), F.col("address"), F.col("work_type"),
-        F.when(k % 4 == 3, F.lit("")).otherwise(F.col("staff")).alias("staff"),
-        F.when(k % 20 == 3, F.lit("")).otherwise(F.lit(S.STATUS_NEGOTIATING)).alias("status"),
-        F.lit("0").alias("probability"),
-        F.col("estimate_amount"), F.col("first_visit"), _null().alias("scheduled_start"),
-        _null().alias("contract_date"), F.lit(0).cast("bigint").alias("contract_amount"),
-        F.lit("").alias("note"),
-    )
-    garbled = updated.withField("name", F.concat(F.lit("??"), F.col("name")))
-    staff_only = F.struct(*[
-        (new_staff if f.name == "staff" else _null(f.dataType.simpleString())).alias(f.name)
-        for f in S.payload_schema("projects").fields])
-    changes = p.where(r <= 5).select(
+    upd = r.isin(1, 4, 5)
+    upd_or_create = r.isin(1, 3, 4, 5)
+    c = F.col
+    fields = {
+        "name": F.when(r.isin(1, 5), c("name")).when(r == 4, F.concat(F.lit("??"), c("name")))
+        .when(r == 3, F.concat(F.lit("New#"), k.cast("string"))),
+        "customer_name": F.when(upd, F.when(k % 20 == 11, F.lit("")).otherwise(c("customer_name")))
+        .when(r == 3, c("customer_name")),
+        "address": F.when(upd_or_create, c("address")),
+        "work_type": F.when(upd_or_create, c("work_type")),
+        "staff": F.when(r == 0, F.when(k % 3 == 0, F.lit("")).otherwise(staff_code(F.floor(k / 10) % 70)))
+        .when(upd, c("staff")).when(r == 3, F.when(k % 4 == 3, F.lit("")).otherwise(c("staff"))),
+        "status": F.when(upd, F.lit(S.STATUS_CONTRACTED))
+        .when(r == 3, F.when(k % 20 == 3, F.lit("")).otherwise(F.lit(S.STATUS_NEGOTIATING))),
+        "probability": F.when(upd, F.lit("100")).when(r == 3, F.lit("0")),
+        "estimate_amount": F.when(upd_or_create, c("estimate_amount")),
+        "first_visit": F.when(upd_or_create, c("first_visit")),
+        "scheduled_start": F.when(upd, c("scheduled_start")),
+        "contract_date": F.when(upd, F.coalesce(c("first_visit"), F.lit(""))),
+        "contract_amount": F.when(upd, F.coalesce(c("contract_amount"), c("estimate_amount")))
+        .when(r == 3, F.lit(0).cast("bigint")),
+        "note": F.when(upd_or_create, F.lit("")),
+    }
+    payload = F.struct(*[fields[f.name].cast(f.dataType).alias(f.name)
+                         for f in S.payload_schema("projects").fields])
+    return p.where(r <= 5).select(
         k.alias("seq"),
-        F.element_at(F.array(*[F.lit(x) for x in
-                               ("assign_staff", "update", "delete", "create", "update", "update")]),
-                     (r + 1).cast("int")).alias("op"),
+        F.when(r == 0, "assign_staff").when(r == 2, "delete").when(r == 3, "create")
+        .when(r <= 5, "update").alias("op"),
         F.when(r == 3, _null("bigint")).when(r == 5, k + UNKNOWN_ID_OFFSET).otherwise(k).alias("id"),
-        F.when(r == 0, staff_only).when(r == 1, updated).when(r == 3, created).when(r == 4, garbled)
-        .when(r == 5, updated).alias("payload"),
+        payload.alias("payload"),
     )
-    return changes.withColumn("payload", F.when(F.col("op") == "delete", _null(S.payload_schema("projects").simpleString()))
-                              .otherwise(F.col("payload")))
 
 
 def employee_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
