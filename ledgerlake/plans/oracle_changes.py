@@ -151,6 +151,14 @@ FROM verdicts WHERE verdict = 'accepted' AND op = 'create'""", V_CHANGES, _ch("c
     q["apply_deletes"] = apply_sql("delete")
     q["assign_staff"] = apply_sql("assign_staff")
     q["apply_change_set"] = apply_sql(None)
+    q["ledger_load"] = with_views(f"SELECT {', '.join(FIELDS)} FROM projects_v")
+    prof = []
+    for src, order, label in (("projects", "id", "name"), ("employees", "id", "name"),
+                              ("customers", "id", "name"), ("invoices", "invoice_no", "invoice_no")):
+        prof.append(f"""SELECT * FROM (
+  SELECT '{src}' AS source, CAST(row_number() OVER (ORDER BY {order}, CAST({label} AS VARCHAR)) AS BIGINT) AS rn,
+    CAST({label} AS VARCHAR) AS label, COUNT(*) OVER () AS row_count FROM {src}_v) t WHERE rn <= 6""")
+    q["source_profile"] = with_views(" UNION ALL ".join(prof))
     surname_any = "string_split_regex(name, '[ 　]')[1]"
     q["cascade_null"] = with_views(f"""
 SELECT 'projects' AS source, id, CASE WHEN staff IN (SELECT s FROM gone) THEN NULL ELSE staff END AS staff

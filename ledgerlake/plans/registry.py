@@ -288,3 +288,36 @@ def all_queries() -> dict[str, Query]:  # noqa: F811
         "cascade_null": cascade_null,
     })
     return q
+
+
+# --- ledgers ----------------------------------------------------------------------
+from ledgerlake.session import scratch_path  # noqa: E402
+from ledgerlake.sources import ledger as L  # noqa: E402
+
+LEDGER_FILES = 4
+
+
+def ledger_load(spark, sf):
+    """S1 round trip: export the projects view as ledger CSV files, load them back (ids dropped)."""
+    path = scratch_path(spark, "ledger-projects")
+    L.export_ledger(_projects(spark, sf), "projects", path, LEDGER_FILES, title="projects ledger")
+    rows, _ = L.load_ledger(spark, path, "projects", assign_ids=False)
+    return rows
+
+
+def source_profile(spark, sf):
+    return L.source_profile({
+        "projects": (_projects(spark, sf), "id", "name"),
+        "employees": (B.employees(spark, sf), "id", "name"),
+        "customers": (B.customers(spark, sf), "id", "name"),
+        "invoices": (B.invoices(spark, sf), "invoice_no", "invoice_no"),
+    })
+
+
+_BASE3 = all_queries
+
+
+def all_queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE3()
+    q.update({"ledger_load": ledger_load, "source_profile": source_profile})
+    return q
