@@ -127,8 +127,17 @@ UNION ALL
 SELECT (SELECT COALESCE(max(id), 0) FROM projects_v) + row_number() OVER (ORDER BY seq) AS id,
   {normalised_sql('create')}
 FROM acc WHERE op = 'create'"""
-    return with_views(body, V_CHANGES, _ch(op), CHECKED, VERDICTS,
-                      "acc AS (SELECT * FROM verdicts WHERE verdict = 'accepted')")
+    return with_views(body, *apply_ctes(op))
+
+
+def apply_ctes(op: str | None) -> list[str]:
+    return [V_CHANGES, _ch(op), CHECKED, VERDICTS, "acc AS (SELECT * FROM verdicts WHERE verdict = 'accepted')"]
+
+
+def applied_body(op: str | None) -> str:
+    """The body of ``apply_sql`` (after its CTEs), for use as a CTE."""
+    full = apply_sql(op)
+    return full[full.index("\nSELECT p.id"):]
 
 
 def change_sql() -> dict[str, str]:
@@ -151,6 +160,22 @@ FROM verdicts WHERE verdict = 'accepted' AND op = 'create'""", V_CHANGES, _ch("c
     q["apply_deletes"] = apply_sql("delete")
     q["assign_staff"] = apply_sql("assign_staff")
     q["apply_change_set"] = apply_sql(None)
+    from ledgerlake.plans.oracle import CONTRACTED, LOST, PAID, PIPELINE
+    q["stream_kpis"] = with_views(f"""
+SELECT p.*, i.* FROM
+ (SELECT
+   CAST(SUM(CASE WHEN status = {CONTRACTED} THEN 1 ELSE 0 END) AS BIGINT) AS contracted_count,
+   CAST(COALESCE(SUM(CASE WHEN status = {CONTRACTED} THEN contract_amount ELSE 0 END), 0) AS BIGINT)
+     AS contracted_total,
+   CAST(SUM(CASE WHEN {PIPELINE} THEN 1 ELSE 0 END) AS BIGINT) AS pipeline_count,
+   CAST(COALESCE(SUM(CASE WHEN {PIPELINE} THEN estimate_amount ELSE 0 END), 0) AS BIGINT) AS pipeline_total,
+   CAST(SUM(CASE WHEN status = {LOST} THEN 1 ELSE 0 END) AS BIGINT) AS lost_count,
+   COUNT(*) AS total_projects
+  FROM applied) p,
+ (SELECT
+   CAST(COALESCE(SUM(CASE WHEN payment_status = {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS paid_amount,
+   CAST(COALESCE(SUM(CASE WHEN payment_status <> {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS unpaid_amount
+  FROM invoices_v) i""", *apply_ctes(None), f"applied AS ({applied_body(None)})")
     q["ledger_load"] = with_views(f"SELECT {', '.join(FIELDS)} FROM projects_v")
     prof = []
     for src, order, label in (("projects", "id", "name"), ("employees", "id", "name"),

@@ -321,3 +321,27 @@ def all_queries() -> dict[str, Query]:  # noqa: F811
     q = _BASE3()
     q.update({"ledger_load": ledger_load, "source_profile": source_profile})
     return q
+
+
+# --- streaming ----------------------------------------------------------------------
+def stream_kpis(spark, sf):
+    """The project change set streamed in three files through the store, then A1 of the result."""
+    from ledgerlake.sources.store import TableStore, max_id
+    from ledgerlake.streaming import change_feed as CF
+    root = scratch_path(spark, "stream")
+    store = TableStore(spark, root + "/store")
+    projects = _projects(spark, sf)
+    store.publish({"projects": projects, "invoices": B.invoices(spark, sf)}, hwms={"projects": max_id(projects)})
+    feed = root + "/feed"
+    CF.to_feed(_changes(spark, sf), "projects").repartitionByRange(3, "seq").write.json(feed)
+    CF.run_change_feed(spark, feed, store, root + "/checkpoint")
+    return CF.published_kpis(store)
+
+
+_BASE4 = all_queries
+
+
+def all_queries() -> dict[str, Query]:  # noqa: F811
+    q = _BASE4()
+    q["stream_kpis"] = stream_kpis
+    return q
