@@ -159,7 +159,7 @@ def high_water_mark(current: DataFrame) -> DataFrame:
     return current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_hwm"))
 
 
-def apply_creates(accepted: DataFrame, table: str, hwm: int) -> DataFrame:
+def apply_creates(accepted: DataFrame, table: str, hwm: int | Column) -> DataFrame:
     """M1: created rows with ids ``hwm + 1, hwm + 2, …`` in seq order, plus ``_staff_seq`` = seq.
 
     Ranks come from ``rank_by`` (range-partitioned sort + per-partition
@@ -170,7 +170,8 @@ def apply_creates(accepted: DataFrame, table: str, hwm: int) -> DataFrame:
     ranked = rank_by(creates, "seq", "_rank")
     cols = [f.name for f in _fields(table)]
     extra = [F.col("seq").alias("_staff_seq")] if "staff" in cols else []
-    return ranked.select((F.lit(hwm).cast("bigint") + F.col("_rank")).alias("id"), *cols, *extra)
+    base = hwm if isinstance(hwm, Column) else F.lit(hwm)
+    return ranked.select((base.cast("bigint") + F.col("_rank")).alias("id"), *cols, *extra)
 
 
 def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: int | None = None,
@@ -178,12 +179,12 @@ def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: in
     """Apply a whole change set; returns ``(new_table, verdicts)``.
 
     ``hwm`` is the persisted high-water mark of issued ids; when unknown it is
-    the table's current max id (one aggregate, collected as a single number).
+    the table's current max id, as a scalar subquery inside the same plan.
     """
     verdicts = validate_changes(current, changes, table)
     accepted = verdicts.where(F.col("verdict") == ACCEPTED)
     if hwm is None:
-        hwm = high_water_mark(current).first()["_hwm"]
+        hwm = high_water_mark(current).scalar()
     keyed = apply_keyed(current, fold_changes(accepted, table), table)
     result = keyed.unionByName(apply_creates(accepted, table, hwm))
     if not keep_staff_seq and "_staff_seq" in result.columns:
