@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ledgerlake import schemas as S
 from ledgerlake.operators import changes as C
 from ledgerlake.operators import metrics as M
-from ledgerlake.sources.store import TableStore, max_id
+from ledgerlake.sources.store import TableStore
 
 FEED_SCHEMA = T.StructType([
     T.StructField("table", T.StringType()),
@@ -51,6 +51,7 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int) -> int | Non
     if batch_id <= store.last_batch():
         return None  # already published: a replay after restart
     batch = batch.persist()
+    names = None
     try:
         present = {r["table"] for r in batch.select("table").distinct().collect()}  # at most the six table names
         manifest = store.manifest()
@@ -59,7 +60,7 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int) -> int | Non
         surnames = None
         if "employees" in present:
             emp_changes = from_feed(batch, "employees")
-            surnames = C.deleted_surnames(store.read("employees"), emp_changes).persist()
+            surnames = names = C.deleted_surnames(store.read("employees"), emp_changes).persist()
             if surnames.isEmpty():
                 surnames = None
         for table in APPLY_ORDER:
@@ -79,10 +80,12 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int) -> int | Non
                 new = C.cascade_staff(new, surnames).drop("_staff_seq")
             out[table] = new
             if touched:
-                hwms[table] = max(store.hwm(table) or 0, max_id(new))
-        return store.publish(out, hwms, batch_id=batch_id)
+                hwms[table] = store.hwm(table) or 0
+        return store.publish(out, batch_id=batch_id, hwm_floor=hwms)
     finally:
         batch.unpersist()
+        if names is not None:
+            names.unpersist()
 
 
 def run_change_feed(spark: SparkSession, feed_dir: str, store: TableStore, checkpoint: str,
