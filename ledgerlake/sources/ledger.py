@@ -138,3 +138,26 @@ def source_profile(sources: dict[str, tuple[DataFrame, str, str]], n: int = 6) -
 def to_json_lines(df: DataFrame) -> DataFrame:
     """Each row as one JSON object (``value``), ready for ``write.text``."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def import_ledgers(spark: SparkSession, store, paths: dict[str, str]) -> dict[str, int]:
+    """Load each table's export into the store once.
+
+    The guard is per table (a table already in the store's manifest is
+    skipped), so an import interrupted after some tables is completed by the
+    next run instead of being skipped whole. Returns the rows loaded per
+    table; rejects are left to ``load_ledger``'s second result.
+    """
+    present = set(store.manifest())
+    loaded: dict[str, int] = {}
+    tables: dict[str, DataFrame] = {}
+    for table, path in paths.items():
+        if table in present:
+            continue
+        rows, _ = load_ledger(spark, path, table)
+        tables[table] = rows
+    if tables:
+        store.publish(tables, hwm_floor={t: 0 for t in tables})
+        for t in tables:
+            loaded[t] = store.read(t).count()
+    return loaded

@@ -67,3 +67,18 @@ def test_source_profile(spark):
     rows = L.source_profile({"projects": (p, "id", "name")}).collect()
     assert [r["rn"] for r in sorted(rows, key=lambda r: r["rn"])] == [1, 2, 3, 4, 5, 6]
     assert {r["row_count"] for r in rows} == {8} and sorted(rows, key=lambda r: r["rn"])[0]["label"] == "p1"
+
+
+def test_import_once_guard_is_per_table(spark):
+    from ledgerlake.sources.store import TableStore
+    emps = make(spark, "employees", [dict(id=i, name=f"e{i}") for i in range(1, 6)])
+    cust = make(spark, "customers", [dict(id=i, name=f"k{i}") for i in range(1, 4)])
+    pe, pc = scratch_path(spark, "imp-e"), scratch_path(spark, "imp-c")
+    L.export_ledger(emps, "employees", pe, files=2, title="社員")
+    L.export_ledger(cust, "customers", pc, files=1, title="顧客")
+    store = TableStore(spark, scratch_path(spark, "imp-store"))
+    assert L.import_ledgers(spark, store, {"employees": pe}) == {"employees": 5}
+    # a second run skips employees and completes the missing table
+    assert L.import_ledgers(spark, store, {"employees": pe, "customers": pc}) == {"customers": 3}
+    assert store.hwm("employees") == 5 and store.read("employees").count() == 5
+    assert L.import_ledgers(spark, store, {"employees": pe, "customers": pc}) == {}
