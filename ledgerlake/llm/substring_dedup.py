@@ -9,7 +9,7 @@ two equal windows, wherever they start, contain one aligned pair of equal
 anchors (runs of ``window - PERIOD + 1`` words at cover positions). Only
 anchors are hashed and shuffled at first, six in 31 positions. A window can be
 repeated only if an anchor inside it is shared with another document; shared
-anchors are extended to the windows around them, confirmed by a 128-bit hash.
+anchors are extended to the windows around them, confirmed by 96 bits of two hashes.
 
 Skew. Equal anchors (or windows) of one Arrow batch are settled in the task:
 the smallest doc_id goes to the shuffle and the others are decided already. A
@@ -40,7 +40,7 @@ COVER = (0, 1, 3, 8, 12, 18)
 
 _MARKS = "key long, doc_id long, pos int, known boolean"
 _CHECKED = "doc_id long, ver int, text string, n_words long, open boolean, marks array<int>"
-_SPANS = "k1 long, k2 long, doc_id long, ver int, start int, stop int, known boolean"
+_SPANS = "k1 long, k2 int, doc_id long, ver int, start int, stop int, known boolean"
 
 
 def _anchors(window: int):
@@ -68,16 +68,16 @@ def _anchors(window: int):
             key, row, pos = np.concatenate(keys), np.concatenate(rows), np.concatenate(at)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
             order = np.lexsort((ids, key))
-            key, ids, pos = key[order], ids[order], pos[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
             stop = np.r_[first[1:], len(key)]
-            shared = ids[first] != ids[stop - 1]
-            known = np.repeat(shared, stop - first)
-            head = np.zeros(len(key), bool)
-            head[first] = True
+            by_id = ids[order]
+            known, head = np.empty(len(key), bool), np.zeros(len(key), bool)
+            known[order] = np.repeat(by_id[first] != by_id[stop - 1], stop - first)
+            head[order[first]] = True
             # what is known and is not the group's one representative needs no meeting: deal it by document
             routed = known & ~head
             key = np.where(routed, mix(ids.astype(U)), key).view(np.int64)
+            # rows leave in text order: neighbours share most bytes and compress well
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(known)],
                 ["key", "doc_id", "pos", "known"])
@@ -127,7 +127,7 @@ def _windows(window: int):
                           for d in range(len(part))]
                 place = np.concatenate([s + w.bounds[d] for d, s in enumerate(starts)])
                 k1.append(window_hashes(w.hashes(0), place, window, 0))
-                k2.append(window_hashes(w.hashes(1), place, window, 1))
+                k2.append((window_hashes(w.hashes(1), place, window, 1) >> U(32)).astype(np.uint32))
                 rows.append(np.repeat(np.arange(len(part)) + done, [len(s) for s in starts]))
                 at.append(np.concatenate(starts))
                 done += len(part)
@@ -136,23 +136,21 @@ def _windows(window: int):
             a, b, row, pos = (np.concatenate(x) for x in (k1, k2, rows, at))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
             ver = batch.column("ver").to_numpy()[row]
-            order = np.lexsort((pos, ids, b, a))
-            a, b, ids, pos, row, ver = a[order], b[order], ids[order], pos[order], row[order], ver[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            first = np.flatnonzero(new)
-            least = np.repeat(ids[first], np.diff(np.r_[first, len(a)]))
+            order = np.lexsort((ids, b, a))
+            first = np.flatnonzero(np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+            least = np.empty(len(a), np.int64)
+            least[order] = np.repeat(ids[order][first], np.diff(np.r_[first, len(a)]))
             gone = ids > least
             keep = ~gone
-            yield _span_batch(a[keep].view(np.int64), b[keep].view(np.int64), ids[keep], ver[keep],
+            # rows leave in text order: neighbours share most bytes and compress well
+            yield _span_batch(a[keep].view(np.int64), b[keep].view(np.int32), ids[keep], ver[keep],
                               pos[keep], pos[keep] + 1, False)
             if gone.any():
                 row, pos, ids, ver = row[gone], pos[gone], ids[gone], ver[gone]
-                order = np.lexsort((pos, row))
-                row, pos, ids, ver = row[order], pos[order], ids[order], ver[order]
                 head = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]
                 last = np.r_[head[1:], True]
                 ids = ids[head]
-                yield _span_batch(mix(ids.astype(U)).view(np.int64), np.zeros(len(ids), np.int64), ids, ver[head],
+                yield _span_batch(mix(ids.astype(U)).view(np.int64), np.zeros(len(ids), np.int32), ids, ver[head],
                                   pos[head], pos[last] + 1, True)
 
     return run
