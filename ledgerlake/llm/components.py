@@ -31,7 +31,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     links are allowed; null ends are dropped.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = written(_small_star(edges.distinct()), name)
+    edges = written(edges.distinct(), name)  # the steps below read the links several times
     mark = None
     for _ in range(max_rounds):
         edges = written(_small_star(_large_star(edges)), name)
