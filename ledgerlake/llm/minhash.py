@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
                        .join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"), "minhash-family-sizes")
     sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("nb"))
     placed = families.join(sizes, "family").transform(lambda d: _block_pairs(d, own)).select("family", "b1", "b2", "rep")
-    sets = (docs.where("doc_id is not null").join(placed.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # the members grow with the documents, so their side is never broadcast, at any size
+    sets = (docs.where("doc_id is not null").hint("merge").join(placed.withColumnRenamed("rep", "doc_id"), "doc_id")
             .select("family", "b1", "b2", F.col("doc_id").alias("rep"), "text")
             .mapInArrow(_pack_sets(shingle), "family long, b1 int, b2 int, rep long, shingles binary"))
     links = (sets.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2")
