@@ -2,7 +2,7 @@
 
 Each line is judged on its own: navigation (separator-ridden menus), symbol
 noise, shouting, boilerplate phrases, and missing punctuation. Failing lines
-are removed. A document that loses more than ``MAX_LOST`` per cent of its word
+are removed. A document that loses more than ``MAX_LOST`` per cent of its
 characters is rejected, and so is one that fails the base rules: fewer than 50
 words, or more than half of its words in repeated 3-word windows.
 
@@ -15,41 +15,47 @@ lines without a word are kept and lose nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
-MAX_LOST = 50  # per cent of the word characters
+MAX_LOST = 50  # per cent of the text's characters, in failing lines
 MIN_SHOUTED = 5  # words of a line without a lower-case letter
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]"
-ENDS = r"""[.!?:;…。"'”’)\]][\x20\x09-\x0D]*$"""
-INNER = r"[.!?,;:]"
-BOILERPLATE = (r"(?i)all rights reserved|cookie policy|use of cookies|uses cookies|privacy policy|terms of (use|service)"
-               r"|enable javascript|lorem ipsum|subscribe to our|sign up for our|click here to|back to top|skip to (main )?content")
-MIN_BARE = 12  # words a line without any punctuation may have
+STOPS = r"[.!?,;:…。]"
+BOILERPLATE = ("all rights reserved", "back to top", "click here to", "cookie policy", "enable javascript", "lorem ipsum",
+               "privacy policy", "sign up for our", "skip to content", "skip to main content", "subscribe to our",
+               "terms of service", "terms of use", "use of cookies", "uses cookies", "we use cookies")
+MAX_BARE = 12  # words a line without any punctuation may have
 
 
-def _bare(text: Column) -> Column:
-    return F.translate(text, SPACES, "")
+def _says_boilerplate(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
 
 
-def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+def _line_facts(line: Column) -> Column:
+    return F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("n"),
+                    F.regexp_count(line, F.lit(SEPARATORS)).alias("separators"),
+                    F.regexp_count(line, F.lit(SYMBOLS)).alias("symbols"))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that one of the rules removes; a line without a word never fails."""
-    n = F.regexp_count(line, F.lit(WORD))
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
-    navigation = (separators >= 2) & (separators * 4 >= n)
-    noise = _symbols(line) * 10 > F.length(_bare(line))
+def _line_fails(f: Column, boilerplate: Column) -> Column:
+    """True for a line that a rule removes; a line without a word never fails. boilerplate: the text has such a phrase."""
+    line, n = f["line"], f["n"]
+    navigation = (f["separators"] >= 2) & (f["separators"] * 4 >= n)
+    noise = f["symbols"] * 10 > F.length(line)
     shouting = (n >= MIN_SHOUTED) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
-    bare = (n > MIN_BARE) & ~line.rlike(ENDS) & ~line.rlike(INNER)
-    return (n > 0) & (navigation | noise | shouting | line.rlike(BOILERPLATE) | bare)
+    bare = (n > MAX_BARE) & ~line.rlike(STOPS)
+    phrase = F.when(boilerplate, _says_boilerplate(line)).otherwise(F.lit(False))
+    return (n > 0) & (navigation | noise | shouting | bare | phrase)
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -84,51 +90,50 @@ def line_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
     trimmed = F.trim(t, F.lit(SPACES))
     out = out.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
         F.split(trimmed, r"[\x20\x09-\x0D]+")))
-    out = _repeated(out).withColumn("n_words", F.size("_w").cast("long")).drop("_w", "_h", "_s", "_p")
-    out = out.withColumn("_lines", F.transform(F.split(t, "\n", -1), lambda x: F.struct(
-        x.alias("line"), line_fails(x).alias("bad"), (_bare(x) != "").alias("full"))))
-    out = out.withColumn("_full", F.transform(F.filter("_lines", lambda x: x["full"]), lambda x: x["line"]))
+    out = _repeated(out).withColumn("n_words", F.size("_w").cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).drop("_w", "_h", "_s", "_p")
+    out = out.withColumn("_bp", _says_boilerplate(t))
+    out = out.withColumn("_facts", F.transform(F.split(t, "\n", -1), _line_facts))
+    out = out.withColumn("_full", F.transform(F.filter("_facts", lambda f: f["n"] > 0), lambda f: f["line"]))
     out = out.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
-    out = out.withColumn("n_removed_lines", F.size(F.filter("_lines", lambda x: x["bad"])).cast("long"))
-    out = out.withColumn("clean_text", F.when(F.col("n_removed_lines") == 0, t).otherwise(F.array_join(
-        F.transform(F.filter("_lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")))
-    out = out.withColumn("word_chars", F.length(_bare(t)).cast("long"))
-    out = out.withColumn("n_symbols", _symbols(t).cast("long"))
-    out = out.withColumn("lost_chars", F.when(F.col("n_removed_lines") == 0, F.lit(0)).otherwise(
-        F.col("word_chars") - F.length(_bare(F.col("clean_text")))).cast("long"))
+    symbols = F.aggregate(F.transform("_facts", lambda f: f["symbols"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("n_symbols", symbols)
+    out = out.withColumn("_good", F.transform(F.filter("_facts", lambda f: ~_line_fails(f, F.col("_bp"))), lambda f: f["line"]))
+    out = out.withColumn("n_removed_lines", (F.size("_facts") - F.size("_good")).cast("long"))
+    out = out.withColumn("clean_text", F.when(F.col("n_removed_lines") == 0, t).otherwise(F.array_join("_good", "\n")))
+    chars = lambda lines: F.aggregate(F.transform(lines, F.length), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("lost_chars", F.when(F.col("n_removed_lines") == 0, F.lit(0).cast("long")).otherwise(
+        chars(F.transform("_facts", lambda f: f["line"])) - chars(F.col("_good"))))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                          | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("word_chars")))
-    return out.drop("_t", "_lines", "_full")
+    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.length(t)))
+    return out.drop("_t", "_bp", "_facts", "_full", "_good")
 
 
 def sql(table: str = "documents") -> str:
     """The same counts and verdicts as DuckDB SQL."""
-    q = lambda x: x.replace("'", "''")
-    word, spaces = q(WORD), "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
-    bare = lambda x: f"translate({x}, {spaces}, '')"
-    symbols = lambda x: f"(length({x}) - length(translate({x}, '{SYMBOLS}', '')))"
-    nw, ns = f"len(regexp_extract_all(line, '{word}'))", f"len(regexp_extract_all(line, '{q(SEPARATORS)}'))"
+    spaces = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+    count = lambda x, pattern: f"len(regexp_extract_all({x}, '{pattern}'))"
+    phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
+    bare = f"length(translate(t, {spaces}, ''))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
-w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{word}') AS w, string_split(t, chr(10)) AS ls FROM d),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{WORD}') AS w, string_split(t, chr(10)) AS ls FROM d),
 g AS (SELECT rid, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS g FROM
       (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 rep AS (SELECT rid, count(*) AS r FROM (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
 lines AS (SELECT rid, unnest(ls) AS line FROM w),
-f AS (SELECT rid, line, {nw} AS nw, {ns} AS ns FROM lines),
-j AS (SELECT rid, line, nw > 0 AND ((ns >= 2 AND ns * 4 >= nw) OR {symbols('line')} * 10 > length({bare('line')})
+f AS (SELECT rid, line, {count('line', WORD)} AS nw, {count('line', SEPARATORS)} AS ns, {count('line', SYMBOLS)} AS ny FROM lines),
+j AS (SELECT rid, line, nw, nw > 0 AND ((ns >= 2 AND ns * 4 >= nw) OR ny * 10 > length(line) OR {phrases}
         OR (nw >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
-        OR regexp_matches(line, '{q(BOILERPLATE)}')
-        OR (nw > {MIN_BARE} AND NOT regexp_matches(line, '{q(ENDS)}') AND NOT regexp_matches(line, '{q(INNER)}'))) AS bad,
-      {bare('line')} <> '' AS fullline FROM f),
-l AS (SELECT rid, sum(CASE WHEN bad THEN length({bare('line')}) ELSE 0 END) AS lost,
-      count(*) FILTER (fullline) - count(DISTINCT line) FILTER (fullline) AS dup FROM j GROUP BY rid),
-o AS (SELECT doc_id, len(w)::BIGINT AS n_words, length({bare('t')})::BIGINT AS word_chars, {symbols('t')}::BIGINT AS n_symbols,
-      dup::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, lost
+        OR (nw > {MAX_BARE} AND NOT regexp_matches(line, '{STOPS}'))) AS bad FROM f),
+l AS (SELECT rid, sum(CASE WHEN bad THEN length(line) ELSE 0 END) AS lost,
+      count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0) AS dup FROM j GROUP BY rid),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_words, {bare}::BIGINT AS word_chars, {count('t', SYMBOLS)}::BIGINT AS n_symbols,
+      dup::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, lost, length(t) AS size
       FROM w JOIN l USING (rid) LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND 100 * lost <= {MAX_LOST} * word_chars AS kept
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND 100 * lost <= {MAX_LOST} * size AS kept
 FROM o"""
