@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, line_rules, minhash, packing, substring_dedup
+from ledgerlake.llm import bpe, line_rules, minhash, packing, secret_ledger, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    ledger = spark.read.schema(secret_ledger.LEDGER).parquet(secret_ledger.update_ledger(docs))
+    found = F.col("findings")
+    base = [r.kind for r in secret_ledger.BASE]
+    of_base = F.filter(found, lambda f: f["kind"].isin(base))
+    count = lambda kind: F.size(F.filter(found, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_ledger.findings(docs, ledger).select(
+        "doc_id", *[count(k) for k in base], F.sha2(secret_ledger.spans_text(of_base), 256).alias("base_sha256"),
+        secret_ledger.spans_text(found).alias("spans"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -26,6 +38,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +60,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_secret_ledger": op3_secret_ledger,
         "op4_bpe": op4_bpe,
+        "op6_topk": op6_topk,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op9_line_rules": op9_line_rules,
         "op10_packing": op10_packing,
@@ -53,5 +71,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op6_topk": topk.sql(),
         "op9_line_rules": line_rules.sql(),
     }
