@@ -34,6 +34,7 @@ from ledgerlake.llm.words import slices
 # The split pattern of byte-level vocabularies (fixed value); white space is Unicode White_Space.
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
+SPLIT_SOURCE = SPLIT.replace(r"[^\p{White_Space}]", r"\S").replace(r"\p{White_Space}", r"\s")
 KEPT_PIECES = 300_000  # encoded pieces a worker keeps
 
 

@@ -62,5 +62,15 @@ def test_packing(spark, library):
         assert sorted((r.length for r in mine), reverse=True) == packing.cuts(len(ids))
 
 
+def test_long_runs_and_unusual_text(library):
+    fast = packing.Encoder(bpe.public_vocabulary())
+    rnd = random.Random(9)
+    odd = ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0x20, 0x500), rnd.randrange(0x2000, 0x3100), rnd.randrange(0x10000, 0x1F700)]))
+                   for _ in range(200)) for _ in range(300)]
+    assert fast.ordered
+    for t in [*TEXTS, *odd, *random_texts(500), "x" * 250_000, "!?" * 60_000 + " end"]:
+        assert fast.ids(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
 def test_empty_tables(spark):
     assert bpe.encode(frame(spark, []).limit(0)).collect() == [] and packing.pack(frame(spark, []).limit(0)).collect() == []
