@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, line_rules, minhash, packing, secret_ledger, substring_dedup, topk
+from ledgerlake.llm import bpe, line_rules, minhash, packing, secret_ledger, substring_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"))
+    out = warc.capture_histories(warc.read_archives(spark, path, with_payload=False))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     ledger = spark.read.schema(secret_ledger.LEDGER).parquet(secret_ledger.update_ledger(docs))
@@ -60,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_warc": op2_warc,
         "op3_secret_ledger": op3_secret_ledger,
         "op4_bpe": op4_bpe,
         "op6_topk": op6_topk,
@@ -71,6 +78,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.sql(),
         "op6_topk": topk.sql(),
         "op9_line_rules": line_rules.sql(),
     }
