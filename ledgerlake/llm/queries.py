@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, line_rules, minhash, packing, secret_ledger, substring_dedup, topk, warc
+from ledgerlake.llm import bpe, html_main, line_rules, minhash, packing, secret_ledger, substring_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_main.extract_main_text(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_rules.line_first(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,6 +76,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_topk": op6_topk,
         "op7_minhash_dedup": op7_minhash_dedup,
+        "op8_html_main_text": op8_html_main_text,
         "op9_line_rules": op9_line_rules,
         "op10_packing": op10_packing,
     }
