@@ -13,6 +13,8 @@ from ledgerlake import schemas as S
 
 ColumnOrName = Column | str
 
+MAX_SERIAL = 2958465  # 9999-12-31, the spreadsheet calendar's last day
+
 
 def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -27,7 +29,8 @@ def parse_ledger_date(value: ColumnOrName, is_serial: ColumnOrName | None = None
     Serial numbers follow the spreadsheet calendar, which counts a 29 Feb 1900:
     serial 60 is that day, serials 1-59 are one day later than a plain day count
     from 1899-12-31 would suggest for later dates. The fraction (time of day) is
-    dropped. Negative serials are not dates and give null.
+    dropped. Numbers outside 1..2958465 (9999-12-31) are not dates and give null;
+    ``bad_serial`` tells them apart.
 
     ``value`` may be numeric (all rows serial) or text; with text, ``is_serial``
     (default: the text parses as a number) chooses the serial branch.
@@ -35,7 +38,7 @@ def parse_ledger_date(value: ColumnOrName, is_serial: ColumnOrName | None = None
     v = _c(value)
     as_num = v.try_cast("double")
     serial = as_num if is_serial is None else F.when(_c(is_serial), as_num)
-    day = F.floor(serial).cast("int")
+    day = F.when((serial >= 1) & (serial < MAX_SERIAL + 1), F.floor(serial)).cast("int")
     from_serial = (
         F.when(day >= 61, F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), day), "yyyy/MM/dd"))
         .when(day == 60, F.lit("1900/02/29"))
@@ -46,6 +49,12 @@ def parse_ledger_date(value: ColumnOrName, is_serial: ColumnOrName | None = None
     return F.when(falsy, F.lit(None).cast("string")).when(serial.isNotNull(), from_serial).otherwise(text)
 
 
+def bad_serial(value: ColumnOrName) -> Column:
+    """True for a number that is no serial day (0 and blank are empty cells, not bad ones)."""
+    n = _c(value).try_cast("double")
+    return F.coalesce((n != 0) & ((n < 1) | (n >= MAX_SERIAL + 1) | F.isnan(n)), F.lit(False))
+
+
 # F2 -------------------------------------------------------------------------
 def month_label(date_text: ColumnOrName) -> Column:
     """``YYYY-MM`` label of a ledger date.
@@ -94,7 +103,7 @@ def to_ledger_date(date_text: ColumnOrName) -> Column:
 # F4 -------------------------------------------------------------------------
 def trim_probability(p: ColumnOrName) -> Column:
     """Probability as text with one trailing ``.0`` removed; null and ``''`` kept."""
-    return F.regexp_replace(_c(p).cast("string"), r"\.0$", "")
+    return F.regexp_replace(_c(p).cast("string"), r"\.0\z", "")
 
 
 # F5 -------------------------------------------------------------------------
@@ -114,12 +123,6 @@ def surname(name: ColumnOrName, mode: str = "ascii") -> Column:
 
 
 # F6 / F7 --------------------------------------------------------------------
-def blank_to_null(c: ColumnOrName) -> Column:
-    """Optional field: ``''`` and 0 become null (the form's falsy values)."""
-    col = _c(c)
-    return F.when(col.cast("string").isin("", "0"), F.lit(None)).otherwise(col)
-
-
 def default_if_blank(c: ColumnOrName, default: str) -> Column:
     """Missing (null or ``''``) → ``default``."""
     col = _c(c)

@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
 from ledgerlake.operators import filters as P
-from ledgerlake.plans.joins import join_small, rank_by
+from ledgerlake.plans.joins import rank_by
 
 OPS = ("create", "update", "delete", "assign_staff")
+ASSIGNABLE = ("projects",)  # tables whose staff can be assigned by itself
 KEYED_OPS = ("update", "delete", "assign_staff")
 
 ACCEPTED, REJECTED, UNMATCHED = "accepted", "rejected", "unmatched"
@@ -80,7 +81,8 @@ def reject_reason(table: str) -> Column:
     has_body = op.isin("create", "update", "assign_staff")
     needs_required = op.isin("create", "update")
     missing = P.missing_required(table, "payload.") if table in S.REQUIRED_FIELDS else F.lit(None).cast("string")
-    return (F.when(~op.isin(*OPS) | op.isNull(), F.lit("bad_op"))
+    allowed = OPS if table in ASSIGNABLE else tuple(o for o in OPS if o != "assign_staff")
+    return (F.when(~op.isin(*allowed) | op.isNull(), F.lit("bad_op"))
             .when(op.isin(*KEYED_OPS) & F.col("id").isNull(), F.lit("missing_id"))
             .when(has_body & garbled.isNotNull(), F.concat(F.lit("garbled:"), garbled))
             .when(needs_required & missing.isNotNull(), F.concat(F.lit("required:"), missing)))
@@ -89,24 +91,27 @@ def reject_reason(table: str) -> Column:
 def validate_changes(current: DataFrame, changes: DataFrame, table: str) -> DataFrame:
     """Every change with ``verdict`` (accepted / rejected / unmatched) and ``reason``.
 
-    Unknown ids are found with one left join to the table's ids (unique, so
+    Creates and rejected rows are judged where they lie. Of the keyed rows,
+    unknown ids are found with one left join to the table's ids (unique, so
     the join never multiplies rows; a hot id on the change side is split by
     AQE's skew handling). The first delete per id comes from a grouped min
     joined back on id.
     """
-    checked = changes.withColumn("reason", reject_reason(table))
+    marked = changes.withColumn("reason", reject_reason(table))
     keyed_ok = F.col("reason").isNull() & F.col("op").isin(*KEYED_OPS)
+    local = marked.where(~keyed_ok).select(
+        "seq", "op", "id", "payload",
+        F.when(F.col("reason").isNotNull(), F.lit(REJECTED)).otherwise(F.lit(ACCEPTED)).alias("verdict"), "reason")
+    checked = marked.where(keyed_ok)
     ids = current.select(F.col("id").alias("_cid"), F.lit(True).alias("_known"))
-    first_delete = (checked.where(keyed_ok & (F.col("op") == "delete"))
+    first_delete = (checked.where(F.col("op") == "delete")
                     .groupBy("id").agg(F.min("seq").alias("_first_delete")))
     j = (checked.join(ids, checked.id == ids._cid, "left")
          .join(first_delete.withColumnRenamed("id", "_did"), F.col("id") == F.col("_did"), "left"))
-    reason = (F.when(F.col("reason").isNotNull(), F.col("reason"))
-              .when(keyed_ok & F.col("_known").isNull(), F.lit("unknown_id"))
-              .when(keyed_ok & (F.col("seq") > F.col("_first_delete")), F.lit("after_delete")))
-    verdict = (F.when(F.col("reason").isNotNull(), F.lit(REJECTED))
-               .when(reason.isNotNull(), F.lit(UNMATCHED)).otherwise(F.lit(ACCEPTED)))
-    return j.select("seq", "op", "id", "payload", verdict.alias("verdict"), reason.alias("reason"))
+    reason = (F.when(F.col("_known").isNull(), F.lit("unknown_id"))
+              .when(F.col("seq") > F.col("_first_delete"), F.lit("after_delete")))
+    verdict = F.when(reason.isNotNull(), F.lit(UNMATCHED)).otherwise(F.lit(ACCEPTED))
+    return local.unionByName(j.select("seq", "op", "id", "payload", verdict.alias("verdict"), reason.alias("reason")))
 
 
 def fold_changes(accepted: DataFrame, table: str) -> DataFrame:
@@ -213,10 +218,10 @@ def cascade_staff(table: DataFrame, surnames: DataFrame) -> DataFrame:
 
     ``table`` carries ``_staff_seq`` (seq of the change that set ``staff``;
     null = stored before the change set). Namesakes are cleared too. The
-    surname side has one row per surname and is broadcast only after its
-    size is checked.
+    surname side has one row per surname; AQE broadcasts it if its measured
+    size allows, and else shuffles.
     """
-    j = join_small(table, surnames, F.col("staff") == F.col("_surname"), "left")
+    j = table.join(surnames, F.col("staff") == F.col("_surname"), "left")
     hit = F.col("_surname").isNotNull() & (
         F.col("_staff_seq").isNull() | (F.col("_cascade_seq") > F.col("_staff_seq")))
     return j.withColumn("staff", F.when(hit, F.lit(None).cast("string")).otherwise(F.col("staff"))) \

@@ -147,12 +147,6 @@ def distinct_values(projects: DataFrame, customers: DataFrame, invoices: DataFra
             .groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    """Whole-table row count."""
-    return df.agg(F.count(F.lit(1)).alias("n"))
-
-
-# --- lists ------------------------------------------------------------------
 def project_list(projects: DataFrame, status: str | None = None, work_type: str | None = None) -> DataFrame:
     """Projects, optionally filtered by status and work type, id descending.
 

@@ -10,8 +10,11 @@ from ledgerlake.functions import normalise as N
 from ledgerlake.operators import metrics as M
 
 
-def reconcile_kpis(projects: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Q1: recompute KPI figures from the row lists and compare with the summary.
+def reconcile_kpis(projects: DataFrame, invoices: DataFrame, served: DataFrame | None = None) -> DataFrame:
+    """Q1: recompute KPI figures from the row lists and compare with a served summary.
+
+    ``served`` is the one-row KPI frame that was published (default: A1 computed
+    now); ``expected`` comes from the lists alone, so a wrong summary shows.
 
     Rows ``(metric, expected, actual, ok)``:
     - contracted_total, paid_amount, total_projects: list sums (missing amount
@@ -22,14 +25,15 @@ def reconcile_kpis(projects: DataFrame, invoices: DataFrame) -> DataFrame:
     - by_status_contracted_total: the KPI (contract amounts only) vs the by-status
       total of 契約済, which falls back to the estimate where the contract is missing;
     - status_classes_sum: total projects vs contracted + pipeline + lost + 完了 + null.
-    Everything is one aggregation over the tagged union of both tables (one
-    pass, partial aggregation per task), then ``stack`` to long form.
+    The lists are one aggregation over the tagged union of both tables (one
+    pass, partial aggregation per task), joined to the served row (one row
+    each), then ``stack`` to long form.
     """
     isp = F.col("_is_project")
     st = F.col("status")
     amt = F.coalesce(F.col("amount"), F.lit(0))
     row = M.tagged_union(projects, invoices).agg(
-        *M.kpi_aggregates(),
+        N.count_if(isp).alias("list_projects"),
         N.sum_if(isp & N.is_contracted(), F.coalesce(F.col("contract_amount"), F.lit(0))).alias("list_contracted"),
         N.sum_if(isp & N.is_contracted(), N.effective_amount()).alias("by_status_contracted"),
         N.count_if(isp & (st == S.STATUS_DONE)).alias("done_count"),
@@ -38,13 +42,15 @@ def reconcile_kpis(projects: DataFrame, invoices: DataFrame) -> DataFrame:
         N.sum_if(~isp & F.coalesce(N.is_unpaid(), F.lit(True)), amt).alias("list_unpaid"),
         N.sum_if(~isp & F.col("payment_status").isNull(), amt).alias("null_bucket"),
     )
+    served = M.kpi_summary(projects, invoices) if served is None else served
+    row = row.withColumn("_one", F.lit(1)).join(served.select(*M.KPI_COLUMNS).limit(1).withColumn("_one", F.lit(1)), "_one")
     c = F.col
     triples = [
         ("contracted_total", c("list_contracted"), c("contracted_total")),
         ("paid_amount", c("list_paid"), c("paid_amount")),
         ("unpaid_amount", c("list_unpaid"), c("unpaid_amount")),
         ("unpaid_null_status_amount", c("null_bucket"), c("list_unpaid") - c("unpaid_amount")),
-        ("total_projects", c("total_projects"), c("total_projects")),
+        ("total_projects", c("list_projects"), c("total_projects")),
         ("by_status_contracted_total", c("contracted_total"), c("by_status_contracted")),
         ("status_classes_sum", c("total_projects"),
          c("contracted_count") + c("pipeline_count") + c("lost_count") + c("done_count") + c("null_status_count")),

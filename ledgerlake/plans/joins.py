@@ -1,4 +1,4 @@
-"""Join and ranking helpers that keep the plan distributed."""
+"""Ranking helper that keeps the plan distributed."""
 
 from __future__ import annotations
 
@@ -7,24 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import checkpoint_root
 
-# Largest side (rows) broadcast on an explicit decision; above it the join
-# shuffles and AQE may still convert it from measured sizes or split skew.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only when its row count is checked to be at most ``max_rows``.
-
-    The count runs on ``small`` alone (an aggregate, typically a per-key
-    result), so it is cheap; a larger side falls back to a shuffled join where
-    AQE's skew handling splits a hot key's partition on ``big``.
-    """
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
-
-
 def rank_by(df: DataFrame, order_col: str, rank_col: str = "rank", start: int = 1) -> DataFrame:
     """Dense 1..n ranks by a unique ordering column, without a single-partition window.
 
@@ -39,7 +21,7 @@ def rank_by(df: DataFrame, order_col: str, rank_col: str = "rank", start: int =
     fixed = df.orderBy(order_col).checkpoint(eager=True)
     tagged = fixed.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return (tagged.join(F.broadcast(offsets), "_pid")

@@ -9,7 +9,12 @@ an uncastable cell to a rejects frame instead of failing the job.
 Preamble rows are found without a single-task read: only rows of each file's
 first split (``_metadata.file_block_start = 0``) can be preamble; their
 position comes from ``monotonically_increasing_id`` minus the file's first
-id in that split (one grouped min per file, a size-checked broadcast).
+id in that split. The CSV reader skips blank lines, so the blank ones among a
+file's first four lines are counted from the text and taken off.
+
+A line break inside a quoted cell needs the reader's ``multiLine`` mode, in
+which a file is one task; it is used only for exports that have such cells.
+Rows with another number of cells than the table has columns are rejects.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import types as T
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
-from ledgerlake.plans.joins import join_small, rank_by
+from ledgerlake.plans.joins import rank_by
 
 PREAMBLE_ROWS = 4
 
@@ -30,23 +35,35 @@ def _positional_schema(table: str) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(n)])
 
 
+def _position(df: DataFrame) -> DataFrame:
+    """``df`` of a file source with ``_line``: 0-based in its file's first split, null past it."""
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_mono"))
+    first = (df.where(F.col("_block") == 0).groupBy(F.col("_file").alias("_f0"))
+             .agg(F.min("_mono").alias("_start")))
+    j = df.join(first, (F.col("_file") == F.col("_f0")) & (F.col("_block") == 0), "left")
+    return j.withColumn("_line", F.col("_mono") - F.col("_start")).drop("_f0", "_start")
+
+
 def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All CSV rows of the export files under ``path`` with ``_file`` and ``_line`` (0-based; null past split 0).
+    """All CSV rows of the export files under ``path`` with ``_file``, ``_line`` and ``_skip``.
 
-    ``_order`` is a sortable position of the row within its file.
+    ``_line`` is the 0-based row in the file (null past split 0), ``_skip`` the
+    file's preamble rows the reader has not skipped itself, ``_order`` a sortable
+    position, ``_ragged`` marks a row with a wrong number of cells.
     """
-    raw = (spark.read.schema(_positional_schema(table))
-           .option("header", "false").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
-           .csv(path)
-           .select("*", F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_mono")))
-    first = (raw.where(F.col("_block") == 0).groupBy(F.col("_file").alias("_f0"))
-             .agg(F.min("_mono").alias("_start")))
-    j = join_small(raw, first, (F.col("_file") == F.col("_f0")) & (F.col("_block") == 0), "left")
-    return (j.withColumn("_line", F.col("_mono") - F.col("_start"))
-            .withColumn("_order", F.struct("_file", "_block", "_mono"))
-            .drop("_f0", "_start"))
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
+    multi_line = not text.where(open_quote).isEmpty()
+    blank = (_position(text).where((F.col("_line") < PREAMBLE_ROWS) & (F.trim(F.translate("value", "\r\t", "  ")) == ""))
+             .groupBy(F.col("_file").alias("_f1")).agg(F.count(F.lit(1)).alias("_blank")))
+    schema = T.StructType([*_positional_schema(table).fields, T.StructField("_ragged", T.StringType())])
+    raw = _position(spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
+                    .option("columnNameOfCorruptRecord", "_ragged").option("multiLine", str(multi_line).lower())
+                    .option("escape", '"').option("recursiveFileLookup", "true").csv(path))
+    return (raw.join(blank, F.col("_file") == F.col("_f1"), "left")
+            .withColumn("_skip", PREAMBLE_ROWS - F.coalesce("_blank", F.lit(0)))
+            .withColumn("_order", F.struct("_file", "_block", "_mono")).drop("_f1", "_blank"))
 
 
 def load_ledger(spark: SparkSession, path: str, table: str, assign_ids: bool = True,
@@ -60,21 +77,23 @@ def load_ledger(spark: SparkSession, path: str, table: str, assign_ids: bool = T
     fields = list(S.payload_schema(table).fields)
     lines = read_ledger_lines(spark, path, table)
     first = F.col("_c0")
-    body = lines.where(F.col("_line").isNull() | (F.col("_line") >= PREAMBLE_ROWS))
-    body = body.where(first.isNotNull() & (first != "") & ~F.coalesce(first.try_cast("double") == 0, F.lit(False)))
+    body = lines.where(F.col("_line").isNull() | (F.col("_line") >= F.col("_skip")))
+    # a sheet's number 0 is an empty first cell; other text that reads as 0 (000, 0D) is a value
+    body = body.where(first.isNotNull() & (first != "") & ~first.rlike(r"^-?0(\.0+)?\z"))
     dates = set(S.DATE_COLUMNS.get(table, ()))
-    typed, bad = [], []
+    typed, bad = [], [F.when(F.col("_ragged").isNotNull(), F.lit("cell_count"))]
     for i, f in enumerate(fields):
         rawc = F.col(f"_c{i}")
         if f.name in dates:
             v = N.parse_ledger_date(rawc)
+            bad.append(F.when(N.bad_serial(rawc), F.lit(f.name)))
         elif isinstance(f.dataType, T.StringType):
             v = rawc
         else:
             v = F.trim(rawc).try_cast(f.dataType)
             bad.append(F.when(rawc.isNotNull() & (F.trim(rawc) != "") & v.isNull(), F.lit(f.name)))
         typed.append(v.alias(f.name))
-    reason = F.coalesce(*bad, F.lit(None).cast("string")) if bad else F.lit(None).cast("string")
+    reason = F.coalesce(*bad)
     checked = body.select("_order", "_file", *typed, reason.alias("_reject"))
     rejects = checked.where(F.col("_reject").isNotNull()).select(
         "_file", *[f.name for f in fields], F.col("_reject").alias("reason"))
@@ -101,7 +120,7 @@ def export_ledger(df: DataFrame, table: str, path: str, files: int, title: str,
     records = df.select(
         F.pmod(F.xxhash64(F.col(order_by)), F.lit(files)).alias("_bucket"),
         F.lit(1).alias("_kind"), F.col(order_by).cast("bigint").alias("_ord"),
-        F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in fields])).alias("value"))
+        F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"escape": '"'}).alias("value"))
     spark = df.sparkSession
     pre_lines = [title, "," * (n - 1), "exported," + "," * (n - 2), ",".join(fields)]
     pre = spark.range(files).select(
@@ -143,21 +162,17 @@ def to_json_lines(df: DataFrame) -> DataFrame:
 def import_ledgers(spark: SparkSession, store, paths: dict[str, str]) -> dict[str, int]:
     """Load each table's export into the store once.
 
-    The guard is per table (a table already in the store's manifest is
-    skipped), so an import interrupted after some tables is completed by the
-    next run instead of being skipped whole. Returns the rows loaded per
-    table; rejects are left to ``load_ledger``'s second result.
+    The guard is per table (a table with rows in the store is skipped), so an
+    import interrupted after some tables is completed by the next run, and an
+    empty table does not block its import. Rows that could not be loaded are
+    published beside each table as ``<table>_rejects``. Returns the rows loaded
+    per table.
     """
-    present = set(store.manifest())
-    loaded: dict[str, int] = {}
+    present = {t for t in paths if t in store.manifest() and not store.read(t).limit(1).isEmpty()}
     tables: dict[str, DataFrame] = {}
     for table, path in paths.items():
-        if table in present:
-            continue
-        rows, _ = load_ledger(spark, path, table)
-        tables[table] = rows
+        if table not in present:
+            tables[table], tables[f"{table}_rejects"] = load_ledger(spark, path, table)
     if tables:
-        store.publish(tables, hwm_floor={t: 0 for t in tables})
-        for t in tables:
-            loaded[t] = store.read(t).count()
-    return loaded
+        store.publish(tables)
+    return {t: store.read(t).count() for t in tables if not t.endswith("_rejects")}

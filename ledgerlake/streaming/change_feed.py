@@ -3,17 +3,27 @@
 Change files (JSON lines: table, seq, op, id, payload-as-JSON) arrive in a
 folder. A file-source stream reads them; ``foreachBatch`` applies each
 micro-batch as one change set per table (M1-M6, with the employee-delete
-cascade), publishes the new snapshots through the versioned store and
-records the batch id in the manifest. A replayed batch (after a restart from
-the checkpoint) finds its id already published and is skipped, so the sink
-is idempotent. KPIs are read from the latest published snapshots.
-
-Ordering is by ``seq`` within a batch and by arrival across batches; there
-is no event time, so no watermark applies.
+cascade) and publishes the new snapshots through the versioned store, together
+with the batch id under the feed's name. A replayed batch of the same feed
+finds its id published and is skipped; another feed (another checkpoint)
+counts its own batches. KPIs are read from the latest published snapshots.
+
+No change is lost without a record: what is not applied is added to the table
+``rejects`` (feed, batch, table, seq, op, id, verdict, reason) in the same
+manifest. Besides the verdicts of M6 the reasons are ``bad_table`` (unknown or
+not in the store), ``bad_payload`` (text that is not the table's JSON object,
+an uncastable field included) and ``stale`` (a keyed change whose ``seq`` is
+not above the last one applied to its id in an earlier batch; the table
+``applied`` keeps those).
+
+Ordering is by ``seq``, within a batch and per id across batches; there is no
+event time, so no watermark applies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +41,7 @@ FEED_SCHEMA = T.StructType([
     T.StructField("payload", T.StringType()),
 ])
 
+REJECTS, APPLIED = "rejects", "applied"  # tables of the store beside the data
 APPLY_ORDER = ("employees", "customers", "projects", "invoices")
 
 
@@ -41,47 +52,81 @@ def to_feed(changes: DataFrame, table: str) -> DataFrame:
 
 
 def from_feed(feed: DataFrame, table: str) -> DataFrame:
-    """The change rows of ``table`` with the payload parsed to the table's struct."""
-    return feed.where(F.col("table") == table).select(
-        "seq", "op", "id", F.from_json("payload", S.payload_schema(table)).alias("payload"))
-
-
-def apply_batch(store: TableStore, batch: DataFrame, batch_id: int) -> int | None:
-    """Apply one micro-batch to the store; returns the published version (None when skipped)."""
-    if batch_id <= store.last_batch():
+    """The change rows of ``table`` with the payload parsed to the table's struct; ``bad``: it is not such an object."""
+    schema = T.StructType([*S.payload_schema(table).fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    own = F.when(F.col("_p").isNotNull(), F.struct(*[F.col(f"_p.{f.name}") for f in S.payload_schema(table).fields]))
+    return (feed.where(F.col("table") == table).withColumn("_p", parsed)
+            .select("seq", "op", "id", own.alias("payload"),
+                    F.coalesce(F.col("_p._corrupt").isNotNull(), F.lit(False)).alias("bad")))
+
+
+def _refused(rows: DataFrame, feed: str, batch_id: int, table, verdict, reason) -> DataFrame:
+    return rows.select(F.lit(feed).alias("feed"), F.lit(batch_id).cast("bigint").alias("batch"), table.alias("table"),
+                       "seq", "op", "id", verdict.alias("verdict"), reason.alias("reason"))
+
+
+def _split(store: TableStore, batch: DataFrame, table: str, feed: str, batch_id: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The applicable changes of one table, and the refused ones (bad payloads, stale seqs)."""
+    rows = from_feed(batch, table)
+    rejected = F.lit(C.REJECTED)
+    refused = [_refused(rows.where("bad"), feed, batch_id, F.lit(table), rejected, F.lit("bad_payload"))]
+    rows = rows.where("not bad").drop("bad")
+    if APPLIED not in store.manifest():
+        return rows, refused
+    last = (store.read(APPLIED).where(F.col("table") == table).groupBy(F.col("id").alias("_id"))
+            .agg(F.max("seq").alias("_last")))
+    rows = rows.join(last, F.col("id") == F.col("_id"), "left")
+    stale = F.coalesce(F.col("op").isin(*C.KEYED_OPS) & (F.col("seq") <= F.col("_last")), F.lit(False))
+    refused.append(_refused(rows.where(stale), feed, batch_id, F.lit(table), rejected, F.lit("stale")))
+    return rows.where(~stale).drop("_id", "_last"), refused
+
+
+def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str = "") -> int | None:
+    """Apply one micro-batch of ``feed`` to the store; returns the published version (None when skipped)."""
+    if batch_id <= store.last_batch(feed):
         return None  # already published: a replay after restart
     batch = batch.persist()
     names = None
     try:
-        present = {r["table"] for r in batch.select("table").distinct().collect()}  # at most the six table names
         manifest = store.manifest()
+        known = [t for t in APPLY_ORDER if t in manifest]
+        # at most the four names of APPLY_ORDER
+        present = {r["table"] for r in batch.where(F.col("table").isin(known)).select("table").distinct().collect()}
+        unknown = batch.where(~F.coalesce(F.col("table").isin(known), F.lit(False)))
+        refused = [_refused(unknown, feed, batch_id, F.col("table"), F.lit(C.REJECTED), F.lit("bad_table"))]
         out: dict[str, DataFrame] = {}
-        hwms: dict[str, int] = {}
+        applied: list[DataFrame] = []
+        sets: dict[str, DataFrame] = {}
+        for table in sorted(present):
+            sets[table], more = _split(store, batch, table, feed, batch_id)
+            refused += more
         surnames = None
         if "employees" in present:
-            emp_changes = from_feed(batch, "employees")
-            surnames = names = C.deleted_surnames(store.read("employees"), emp_changes).persist()
+            surnames = names = C.deleted_surnames(store.read("employees"), sets["employees"]).persist()
             if surnames.isEmpty():
                 surnames = None
-        for table in APPLY_ORDER:
-            if table not in manifest:
-                continue
+        for table in known:
             touched = table in present
             cascades = surnames is not None and table in S.STAFF_TABLES
             if not (touched or cascades):
                 continue
             cur = store.read(table)
             if touched:
-                new, _ = C.apply_change_set(cur, from_feed(batch, table), table, hwm=store.hwm(table),
-                                            keep_staff_seq=cascades)
+                new, verdicts = C.apply_change_set(cur, sets[table], table, hwm=store.hwm(table), keep_staff_seq=cascades)
+                missed = verdicts.where(F.col("verdict") != C.ACCEPTED)
+                refused.append(_refused(missed, feed, batch_id, F.lit(table), F.col("verdict"), F.col("reason")))
+                applied.append(verdicts.where((F.col("verdict") == C.ACCEPTED) & F.col("op").isin(*C.KEYED_OPS))
+                               .groupBy("id").agg(F.max("seq").alias("seq")).select(F.lit(table).alias("table"), "id", "seq"))
             else:
                 new = cur.withColumn("_staff_seq", F.lit(None).cast("bigint")) if cascades else cur
             if cascades:
                 new = C.cascade_staff(new, surnames).drop("_staff_seq")
             out[table] = new
-            if touched:
-                hwms[table] = store.hwm(table) or 0
-        return store.publish(out, batch_id=batch_id, hwm_floor=hwms)
+        added = {REJECTS: reduce(DataFrame.unionByName, refused)}
+        if applied:
+            added[APPLIED] = reduce(DataFrame.unionByName, applied)
+        return store.publish(out, batch_id=batch_id, feed=feed, append=added)
     finally:
         batch.unpersist()
         if names is not None:
@@ -93,7 +138,8 @@ def run_change_feed(spark: SparkSession, feed_dir: str, store: TableStore, check
     """Process every available change file (``Trigger.AvailableNow``) and stop."""
     stream = (spark.readStream.schema(FEED_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).json(feed_dir))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_batch(store, df, bid))
+    # a checkpoint counts its own batches, so it names the feed
+    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_batch(store, df, bid, feed=checkpoint))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 

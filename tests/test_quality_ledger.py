@@ -62,6 +62,60 @@ def test_ledger_round_trip_with_preamble_and_rejects(spark):
     assert [(r["name"], r["reason"]) for r in rejects.collect()] == [("B", "estimate_amount")]
 
 
+def test_ledger_edges_neither_lose_nor_invent_rows(spark):
+    def load(text):
+        d = tempfile.mkdtemp(prefix="ledger-edge-")
+        with open(f"{d}/sheet.csv", "w") as fh:
+            fh.write(text)
+        rows, rejects = L.load_ledger(spark, d, "projects")
+        return [r["name"] for r in rows.orderBy("id").collect()], [(r["name"], r["reason"]) for r in rejects.collect()]
+
+    head, tail = "title\n", "," * 11 + "\n"
+    assert load(f"{head}\nexported,,\nname,customer_name\nA,{tail}B,{tail}") == (["A", "B"], [])
+    assert load(f"{head},,\n  \nname,customer_name\n000,{tail}0D,{tail}0,{tail}0.0,{tail}") == (["000", "0D"], [])
+    dates = lambda v: "D,c,x,,,,,1,%s,,,,\n" % v
+    assert load(f"{head},,\n,,\nh\n" + dates("09012345678") + dates("20240305") + dates("0.5") + dates("-5") + dates("45000")) == (
+        ["D"], [("D", "first_visit")] * 4)
+    assert load(f"{head},,\n,,\nh\nlong,{tail[:-1]},,,\nshort,c\nA,{tail}") == (["A"], [("long", "cell_count"), ("short", "cell_count")])
+    src = make(spark, "projects", [dict(id=i, name=f"p{i}", customer_name="c", note='a "q"\nb,\nc') for i in range(1, 4)])
+    path = scratch_path(spark, "ledger-lines")
+    L.export_ledger(src, "projects", path, files=2, title="t")
+    rows, rejects = L.load_ledger(spark, path, "projects")
+    assert rejects.count() == 0 and sorted((r["name"], r["note"]) for r in rows.collect()) == [(f"p{i}", 'a "q"\nb,\nc') for i in (1, 2, 3)]
+
+
+def test_all_six_ledgers_load_and_rejects_are_kept(spark):
+    from ledgerlake.sources.store import TableStore
+    store = TableStore(spark, scratch_path(spark, "six"))
+    est = make(spark, "estimates", [dict(id=1, quote_no="Q1", qty=1.5, unit_price=2, subtotal=3, created_date="2024/3/5")])
+    paths = {}
+    frames = {t: make(spark, t, [dict(id=1, **{f: "v"})]) for t, f in (("employees", "name"), ("customers", "name"), ("projects", "name"),
+                                                                          ("invoices", "invoice_no"), ("services", "name"))}
+    for t, df in {**frames, "estimates": est}.items():
+        paths[t] = scratch_path(spark, f"six-{t}")
+        L.export_ledger(df, t, paths[t], files=1, title=t)
+    store.publish({"services": frames["services"].limit(0)})  # an empty table does not block its import
+    assert L.import_ledgers(spark, store, paths) == dict.fromkeys(paths, 1)
+    assert store.read("estimates").first()["qty"] == 1.5 and store.read("services_rejects").count() == 0
+
+
+def test_json_lines_round_trip(spark):
+    src = make(spark, "projects", PROJECTS)
+    path = scratch_path(spark, "json-lines")
+    L.to_json_lines(src).write.text(path)
+    back = spark.read.schema(src.schema).json(path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, src.collect()))
+
+
+def test_wrong_served_kpi_is_found(spark):
+    p, i = make(spark, "projects", PROJECTS), make(spark, "invoices", INVOICES)
+    served = M.kpi_summary(p, i)
+    for column in ("contracted_total", "paid_amount", "total_projects"):
+        wrong = served.withColumn(column, served[column] + 1)
+        rows = {r["metric"]: r["ok"] for r in Q.reconcile_kpis(p, i, wrong).collect()}
+        assert not rows[column] and rows["unpaid_null_status_amount"]
+
+
 def test_source_profile(spark):
     p = make(spark, "projects", PROJECTS)
     rows = L.source_profile({"projects": (p, "id", "name")}).collect()

@@ -37,7 +37,44 @@ def test_stream_equals_batch_and_replay_is_skipped(spark):
     assert store.read("employees").count() == 0
     assert CF.published_kpis(store).first()["total_projects"] == 4
     version = store.versions()[-1]
-    assert CF.apply_batch(store, feed, 0) is None and store.versions()[-1] == version
+    assert CF.apply_batch(store, feed, 0, feed=root + "/ckpt") is None and store.versions()[-1] == version
+
+
+def test_refused_changes_are_published(spark):
+    store = TableStore(spark, scratch_path(spark, "stream-rejects"))
+    store.publish({"projects": make(spark, "projects", BASE), "customers": make(spark, "customers", [dict(id=1, name="k")])})
+    row = lambda t, seq, op, i, p: (t, seq, op, i, p)
+    ok = '{"name":"n","customer_name":"c","status":"商談中"%s}'
+    batch = [row("projects", 10, "assign_staff", 1, '{"staff":"X'), row("projects", 11, "update", 1, ok % ',"estimate_amount":"abc"'),
+             row("nowhere", 12, "delete", 1, None), row(None, 13, "delete", 1, None), row("projects", 14, "delete", 777, None),
+             row("projects", 100, "assign_staff", 1, '{"staff":"late"}'), row("customers", 15, "assign_staff", 1, '{"staff":"x"}'),
+             row("invoices", 16, "delete", 1, None)]
+    df = spark.createDataFrame(batch, CF.FEED_SCHEMA)
+    assert CF.apply_batch(store, df, 0, "a") is not None
+    got = {(r.table, r.seq): r.reason for r in store.read("rejects").collect()}
+    assert got == {("projects", 10): "bad_payload", ("projects", 11): "bad_payload", ("nowhere", 12): "bad_table", (None, 13): "bad_table",
+                   ("projects", 14): "unknown_id", ("customers", 15): "bad_op", ("invoices", 16): "bad_table"}
+    # an older seq in a later batch is stale; a second feed counts its own batches
+    second = spark.createDataFrame([row("projects", 5, "assign_staff", 1, '{"staff":"old"}'), row("projects", 101, "delete", 2, None)], CF.FEED_SCHEMA)
+    assert CF.apply_batch(store, second, 0, "a") is None
+    assert CF.apply_batch(store, second, 0, "b") is not None
+    staff = {r.id: r.staff for r in store.read("projects").collect()}
+    assert staff[1] == "late" and 2 not in staff
+    assert [(r.feed, r.seq) for r in store.read("rejects").where("reason = 'stale'").collect()] == [("b", 5)]
+
+
+def test_store_survives_a_torn_manifest_and_never_reuses_ids(spark):
+    store = TableStore(spark, scratch_path(spark, "store-torn"))
+    store.publish({"projects": make(spark, "projects", BASE)})
+    top = store.hwm("projects")
+    assert top == max(r["id"] for r in BASE)
+    torn = store.root + "/_manifest/v0000000002-torn"
+    spark.range(1).write.parquet(torn)
+    os.remove(torn + "/_SUCCESS")
+    feed = lambda *rows: spark.createDataFrame(list(rows), CF.FEED_SCHEMA)
+    CF.apply_batch(store, feed(("projects", 1, "delete", top, None)), 0)
+    CF.apply_batch(store, feed(("projects", 2, "create", None, '{"name":"n","customer_name":"c"}')), 1)
+    assert store.versions() == [1, 3, 4] and {r.id for r in store.read("projects").collect()} >= {top + 1}
 
 
 def test_entry_and_registry(spark):
