@@ -261,3 +261,23 @@ def _block_pairs(df: DataFrame, own) -> DataFrame:
     """Each row once per block pair it takes part in: nb blocks, pairs (b1 <= b2)."""
     return (df.withColumn("_b", own).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .withColumn("b1", F.least("_b", "_j")).withColumn("b2", F.greatest("_b", "_j")).drop("_b", "_j"))
+
+
+def sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
+    """The components over 2-word shingles as DuckDB SQL (all pairs that share a shingle)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+s AS (SELECT DISTINCT rid, w[i] || ' ' || w[i + 1] AS s FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2)
+      UNION ALL SELECT rid, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+pair AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+link AS (SELECT dx.doc_id AS a, dy.doc_id AS b FROM pair JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y
+         JOIN d dx ON dx.rid = x JOIN d dy ON dy.rid = y WHERE 100 * c >= {round(100 * threshold)} * (nx.n + ny.n - c)),
+twoway AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM twoway UNION SELECT r.a, e.b FROM reach r JOIN twoway e ON r.b = e.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(c, doc_id) END AS component_id,
+  coalesce(coalesce(c, doc_id) = doc_id, true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN comp ON comp.a = d.doc_id"""

@@ -93,7 +93,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.sql(),
         "op2_warc": warc.sql(),
         "op6_topk": topk.sql(),
+        "op7_minhash_dedup": minhash.sql(),
         "op9_line_rules": line_rules.sql(),
     }

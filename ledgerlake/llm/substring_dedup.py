@@ -239,3 +239,18 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, keep_layout:
     else:
         rest = calm.mapInArrow(_remove(window, False), cut)
     return out.unionByName(rest)
+
+
+def sql(table: str = "documents", window: int = WINDOW) -> str:
+    """The per-document counts and the kept words' digest as DuckDB SQL."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS k FROM
+        (SELECT rid, doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window})),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT rid, i FROM win JOIN first USING (k) WHERE doc_id > m),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {window})) AS p FROM hit),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS c FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
