@@ -190,8 +190,9 @@ def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: in
     accepted = verdicts.where(F.col("verdict") == ACCEPTED)
     if hwm is None:
         hwm = high_water_mark(current).scalar()
-    keyed = apply_keyed(current, fold_changes(accepted, table), table)
-    result = keyed.unionByName(apply_creates(accepted, table, hwm))
+    result = apply_keyed(current, fold_changes(accepted, table), table)
+    if not changes.where(F.col("op") == "create").isEmpty():  # ranking writes a checkpoint: only if there is something to rank
+        result = result.unionByName(apply_creates(accepted, table, hwm))
     if not keep_staff_seq and "_staff_seq" in result.columns:
         result = result.drop("_staff_seq")
     return result, verdicts

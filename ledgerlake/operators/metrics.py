@@ -8,11 +8,12 @@ inside every task before the shuffle and never lands whole on one reducer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
+from ledgerlake.plans.joins import rank_by
 
 
 def tagged_union(projects: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -108,19 +109,20 @@ def staff_performance(projects: DataFrame, won_statuses: tuple[str, ...] = (S.ST
 def staff_ranking(performance: DataFrame) -> DataFrame:
     """Rank, win rate and revenue share over the staff performance rows.
 
-    The input has one row per staff value (bounded by the staff roster, not by
-    the project count), so the un-partitioned window that ranks it runs on a
-    small, already-aggregated frame. Ties on revenue rank by staff.
+    Staff is free text, so the number of its values has no bound: ranks come
+    from ``rank_by`` (range-partitioned sort, per-partition offsets) and the
+    revenue total is a scalar subquery. Ties on revenue rank by staff; a null
+    revenue ranks last.
     """
-    everyone = Window.partitionBy()
-    order = Window.orderBy(F.desc("revenue"), F.asc("staff"))
-    return performance.select(
-        F.row_number().over(order).cast("bigint").alias("rank"),
+    total = performance.agg(F.sum("revenue").alias("_total")).scalar()
+    order = F.struct(F.col("revenue").isNull(), -F.col("revenue"), F.col("staff"))
+    return rank_by(performance.withColumn("_order", order), "_order", "rank").select(
+        "rank",
         "staff", "total", "contracted", "revenue",
         F.try_divide(F.col("contracted").cast("double"), F.nullif(F.col("total"), F.lit(0)).cast("double"))
         .alias("win_rate"),
         F.try_divide(F.col("revenue").cast("double"),
-                     F.nullif(F.sum("revenue").over(everyone), F.lit(0)).cast("double")).alias("revenue_share"),
+                     F.nullif(total, F.lit(0)).cast("double")).alias("revenue_share"),
     )
 
 

@@ -177,6 +177,10 @@ SELECT p.*, i.* FROM
    CAST(COALESCE(SUM(CASE WHEN payment_status <> {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS unpaid_amount
   FROM invoices_v) i""", *apply_ctes(None), f"applied AS ({applied_body(None)})")
     q["ledger_load"] = with_views(f"SELECT {', '.join(FIELDS)} FROM projects_v")
+    q["ledger_rejects"] = with_views("SELECT name, 'estimate_amount' AS reason FROM projects_v WHERE id % 11 = 0")
+    q["stream_rejects"] = with_views(
+        "SELECT 'projects' AS \"table\", seq, op, id, verdict, reason FROM verdicts WHERE verdict <> 'accepted'",
+        V_CHANGES, _ch(None), CHECKED, VERDICTS)
     prof = []
     for src, order, label in (("projects", "id", "name"), ("employees", "id", "name"),
                               ("customers", "id", "name"), ("invoices", "invoice_no", "invoice_no")):
@@ -189,6 +193,8 @@ SELECT p.*, i.* FROM
 SELECT 'projects' AS source, id, CASE WHEN staff IN (SELECT s FROM gone) THEN NULL ELSE staff END AS staff
 FROM projects_v
 UNION ALL
-SELECT 'customers', id, CASE WHEN staff IN (SELECT s FROM gone) THEN NULL ELSE staff END FROM customers_v""",
+SELECT 'customers', id, CASE WHEN staff IN (SELECT s FROM gone) THEN NULL ELSE staff END FROM customers_v
+UNION ALL
+SELECT 'employees', id, NULL FROM employees_v WHERE id % 9 <> 0""",
         f"gone AS (SELECT DISTINCT {surname_any} AS s FROM employees_v WHERE id % 9 = 0)")
     return q

@@ -220,10 +220,11 @@ apply_change_set = _apply(None)
 
 
 def cascade_null(spark, sf):
-    _, p, c = C.delete_employees_with_cascade(B.employees(spark, sf), _projects(spark, sf),
+    e, p, c = C.delete_employees_with_cascade(B.employees(spark, sf), _projects(spark, sf),
                                               B.customers(spark, sf), B.employee_deletes(spark, sf))
     return (p.select(F.lit("projects").alias("source"), "id", "staff")
-            .unionByName(c.select(F.lit("customers").alias("source"), "id", "staff")))
+            .unionByName(c.select(F.lit("customers").alias("source"), "id", "staff"))
+            .unionByName(e.select(F.lit("employees").alias("source"), "id", F.lit(None).cast("string").alias("staff"))))
 
 
 # --- ledgers ----------------------------------------------------------------------
@@ -245,6 +246,16 @@ def ledger_load(spark, sf):
     return rows
 
 
+def ledger_rejects(spark, sf):
+    """The rows a load refuses: every eleventh project is exported with an amount that is no number."""
+    path = scratch_path(spark, "ledger-rejects")
+    projects = _projects(spark, sf)
+    amount = F.col("estimate_amount").cast("string")
+    spoilt = projects.withColumn("estimate_amount", F.when(F.col("id") % 11 == 0, F.concat(amount, F.lit("x"))).otherwise(amount))
+    L.export_ledger(spoilt, "projects", path, _files(projects), title="projects ledger")
+    return L.load_ledger(spark, path, "projects", assign_ids=False)[1].select("name", "reason")
+
+
 def source_profile(spark, sf):
     return L.source_profile({
         "projects": (_projects(spark, sf), "id", "name"),
@@ -255,8 +266,8 @@ def source_profile(spark, sf):
 
 
 # --- streaming ----------------------------------------------------------------------
-def stream_kpis(spark, sf):
-    """The project change set streamed in three files or more through the store, then A1 of the result."""
+def _streamed(spark, sf):
+    """The project change set streamed in three files or more through a fresh store."""
     from ledgerlake.sources.store import TableStore
     from ledgerlake.streaming import change_feed as CF
     root = scratch_path(spark, "stream")
@@ -267,7 +278,19 @@ def stream_kpis(spark, sf):
     rows = CF.to_feed(_changes(spark, sf), "projects")
     rows.repartitionByRange(_files(rows, 3), "seq").write.json(feed)
     CF.run_change_feed(spark, feed, store, root + "/checkpoint")
-    return CF.published_kpis(store)
+    return store
+
+
+def stream_kpis(spark, sf):
+    """A1 of the published result of the streamed change set."""
+    from ledgerlake.streaming import change_feed as CF
+    return CF.published_kpis(_streamed(spark, sf))
+
+
+def stream_rejects(spark, sf):
+    """The changes that the stream did not apply, as published."""
+    from ledgerlake.streaming import change_feed as CF
+    return _streamed(spark, sf).read(CF.REJECTS).select("table", "seq", "op", "id", "verdict", "reason")
 
 
 def all_queries() -> dict[str, Query]:
@@ -321,6 +344,8 @@ def all_queries() -> dict[str, Query]:
         "cascade_null": cascade_null,
         # ledgers and the stream
         "ledger_load": ledger_load,
+        "ledger_rejects": ledger_rejects,
         "source_profile": source_profile,
         "stream_kpis": stream_kpis,
+        "stream_rejects": stream_rejects,
     }
