@@ -180,13 +180,14 @@ def apply_creates(accepted: DataFrame, table: str, hwm: int | Column) -> DataFra
 
 
 def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: int | None = None,
-                     keep_staff_seq: bool = False) -> tuple[DataFrame, DataFrame]:
+                     keep_staff_seq: bool = False, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply a whole change set; returns ``(new_table, verdicts)``.
 
     ``hwm`` is the persisted high-water mark of issued ids; when unknown it is
     the table's current max id, as a scalar subquery inside the same plan.
+    ``verdicts`` may be given if the caller has them (and has kept them).
     """
-    verdicts = validate_changes(current, changes, table)
+    verdicts = validate_changes(current, changes, table) if verdicts is None else verdicts
     accepted = verdicts.where(F.col("verdict") == ACCEPTED)
     if hwm is None:
         hwm = high_water_mark(current).scalar()

@@ -87,7 +87,7 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
     if batch_id <= store.last_batch(feed):
         return None  # already published: a replay after restart
     batch = batch.persist()
-    names = None
+    names, kept = None, []
     try:
         manifest = store.manifest()
         known = [t for t in APPLY_ORDER if t in manifest]
@@ -113,7 +113,10 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
                 continue
             cur = store.read(table)
             if touched:
-                new, verdicts = C.apply_change_set(cur, sets[table], table, hwm=store.hwm(table), keep_staff_seq=cascades)
+                # read by the new snapshot, the rejects and the applied seqs: judged once a batch
+                kept.append(verdicts := C.validate_changes(cur, sets[table], table).persist())
+                new, _ = C.apply_change_set(cur, sets[table], table, hwm=store.hwm(table), keep_staff_seq=cascades,
+                                            verdicts=verdicts)
                 missed = verdicts.where(F.col("verdict") != C.ACCEPTED)
                 refused.append(_refused(missed, feed, batch_id, F.lit(table), F.col("verdict"), F.col("reason")))
                 applied.append(verdicts.where((F.col("verdict") == C.ACCEPTED) & F.col("op").isin(*C.KEYED_OPS))
@@ -129,8 +132,8 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
         return store.publish(out, batch_id=batch_id, feed=feed, append=added)
     finally:
         batch.unpersist()
-        if names is not None:
-            names.unpersist()
+        for frame in [*kept, *([names] if names is not None else [])]:
+            frame.unpersist()
 
 
 def run_change_feed(spark: SparkSession, feed_dir: str, store: TableStore, checkpoint: str,
