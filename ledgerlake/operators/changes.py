@@ -1,6 +1,6 @@
 """Keyed change sets (M1-M6, J3): single-row writes re-expressed as batch operators.
 
-A change row is ``(seq, op, id, payload)`` with ``op`` one of ``create``,
+A change row is ``(seq, op, id, payload)``, and ``ref`` if the set has it, with ``op`` one of ``create``,
 ``update``, ``delete``, ``assign_staff`` and ``payload`` a struct of the
 table's columns without ``id``. Rules, in the order the original service
 applied them to one request:
@@ -10,6 +10,12 @@ applied them to one request:
 3. an update, assignment or delete of an unknown id → unmatched; so is any
    change of an id after that id's first delete in the set.
 
+A set may carry a ``ref`` column: a name the sender gives to a row it creates,
+so that later changes of the set can address it before its id is known
+(``id`` null, ``ref`` set). The first accepted create of a ref holds it; a
+further one is rejected (``duplicate_ref``), and a keyed change whose ref no
+earlier accepted create holds is unmatched (``unknown_ref``).
+
 Accepted changes fold per id: the last full update replaces every column
 (fields left out become null, blanks become null, invoice payment state
 defaults); a staff assignment after it changes only ``staff``; a delete
@@ -73,7 +79,7 @@ def normalised_payload(table: str, op: str, prefix: str = "payload.") -> list[Co
     return out
 
 
-def reject_reason(table: str) -> Column:
+def reject_reason(table: str, with_ref: bool = False) -> Column:
     """P9 then P10 for one change row; null when the row passes both."""
     fields = [f.name for f in _fields(table)]
     op = F.col("op")
@@ -83,7 +89,8 @@ def reject_reason(table: str) -> Column:
     missing = P.missing_required(table, "payload.") if table in S.REQUIRED_FIELDS else F.lit(None).cast("string")
     allowed = OPS if table in ASSIGNABLE else tuple(o for o in OPS if o != "assign_staff")
     return (F.when(~op.isin(*allowed) | op.isNull(), F.lit("bad_op"))
-            .when(op.isin(*KEYED_OPS) & F.col("id").isNull(), F.lit("missing_id"))
+            .when(op.isin(*KEYED_OPS) & F.col("id").isNull() & (F.col("ref").isNull() if with_ref else F.lit(True)),
+                  F.lit("missing_id"))
             .when(has_body & garbled.isNotNull(), F.concat(F.lit("garbled:"), garbled))
             .when(needs_required & missing.isNotNull(), F.concat(F.lit("required:"), missing)))
 
@@ -95,13 +102,16 @@ def validate_changes(current: DataFrame, changes: DataFrame, table: str) -> Data
     unknown ids are found with one left join to the table's ids (unique, so
     the join never multiplies rows; a hot id on the change side is split by
     AQE's skew handling). The first delete per id comes from a grouped min
-    joined back on id.
+    joined back on id. Rows that use ``ref`` are judged by ``_judge_refs``.
     """
-    marked = changes.withColumn("reason", reject_reason(table))
-    keyed_ok = F.col("reason").isNull() & F.col("op").isin(*KEYED_OPS)
-    local = marked.where(~keyed_ok).select(
-        "seq", "op", "id", "payload",
-        F.when(F.col("reason").isNotNull(), F.lit(REJECTED)).otherwise(F.lit(ACCEPTED)).alias("verdict"), "reason")
+    with_ref = "ref" in changes.columns
+    cols = ["seq", "op", "id", *(["ref"] if with_ref else []), "payload"]
+    marked = changes.withColumn("reason", reject_reason(table, with_ref))
+    ok = F.col("reason").isNull()
+    keyed_ok = ok & F.col("op").isin(*KEYED_OPS) & F.col("id").isNotNull()
+    by_ref = ok & F.col("ref").isNotNull() & ~keyed_ok if with_ref else F.lit(False)
+    local = marked.where(~keyed_ok & ~by_ref).select(
+        *cols, F.when(F.col("reason").isNotNull(), F.lit(REJECTED)).otherwise(F.lit(ACCEPTED)).alias("verdict"), "reason")
     checked = marked.where(keyed_ok)
     ids = current.select(F.col("id").alias("_cid"), F.lit(True).alias("_known"))
     first_delete = (checked.where(F.col("op") == "delete")
@@ -111,7 +121,27 @@ def validate_changes(current: DataFrame, changes: DataFrame, table: str) -> Data
     reason = (F.when(F.col("_known").isNull(), F.lit("unknown_id"))
               .when(F.col("seq") > F.col("_first_delete"), F.lit("after_delete")))
     verdict = F.when(reason.isNotNull(), F.lit(UNMATCHED)).otherwise(F.lit(ACCEPTED))
-    return local.unionByName(j.select("seq", "op", "id", "payload", verdict.alias("verdict"), reason.alias("reason")))
+    judged = local.unionByName(j.select(*cols, verdict.alias("verdict"), reason.alias("reason")))
+    return judged.unionByName(_judge_refs(marked.where(by_ref), cols)) if with_ref else judged
+
+
+def _judge_refs(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Verdicts of creates that carry a ref and of keyed changes that use one.
+
+    One row per ref (its first create, its first delete after that) is joined
+    back, so a ref that many changes use is aggregated before the join.
+    """
+    born = rows.where(F.col("op") == "create").groupBy(F.col("ref").alias("_ref")).agg(F.min("seq").alias("_born"))
+    gone = (rows.where(F.col("op") == "delete").join(born, F.col("ref") == F.col("_ref"))
+            .where(F.col("seq") > F.col("_born")).groupBy(F.col("ref").alias("_gone_ref")).agg(F.min("seq").alias("_gone")))
+    j = (rows.join(born, F.col("ref") == F.col("_ref"), "left")
+         .join(gone, F.col("ref") == F.col("_gone_ref"), "left"))
+    created = F.col("op") == "create"
+    reason = (F.when(created & (F.col("seq") > F.col("_born")), F.lit("duplicate_ref"))
+              .when(~created & (F.col("_born").isNull() | (F.col("seq") < F.col("_born"))), F.lit("unknown_ref"))
+              .when(~created & (F.col("seq") > F.col("_gone")), F.lit("after_delete")))
+    verdict = (F.when(reason.isNull(), F.lit(ACCEPTED)).when(created, F.lit(REJECTED)).otherwise(F.lit(UNMATCHED)))
+    return j.select(*cols, verdict.alias("verdict"), reason.alias("reason"))
 
 
 def fold_changes(accepted: DataFrame, table: str) -> DataFrame:
@@ -138,7 +168,8 @@ def apply_keyed(current: DataFrame, folded: DataFrame, table: str) -> DataFrame:
     """M2/M3/M4: the table after updates, assignments and deletes.
 
     Adds ``_staff_seq``: the seq of the change that last set ``staff`` (null
-    when the stored value is older than the change set), used by cascades.
+    when the stored value is older than the change set), used by cascades. A
+    ``_staff_seq`` that ``current`` has (rows created in this set) is the floor.
     """
     cols = [f.name for f in _fields(table)]
     has_staff = "staff" in cols
@@ -154,7 +185,8 @@ def apply_keyed(current: DataFrame, folded: DataFrame, table: str) -> DataFrame:
             v = F.when(later, F.col("_asg.staff")).otherwise(v)
         out.append(v.alias(c))
     if has_staff:
-        staff_seq = F.greatest(upd_seq, F.col("_asg.seq"))
+        before = F.col("_staff_seq") if "_staff_seq" in current.columns else F.lit(None).cast("bigint")
+        staff_seq = F.greatest(before, upd_seq, F.col("_asg.seq"))
         out.append(staff_seq.alias("_staff_seq"))
     return j.select(*out)
 
@@ -165,35 +197,73 @@ def high_water_mark(current: DataFrame) -> DataFrame:
 
 
 def apply_creates(accepted: DataFrame, table: str, hwm: int | Column) -> DataFrame:
-    """M1: created rows with ids ``hwm + 1, hwm + 2, …`` in seq order, plus ``_staff_seq`` = seq.
+    """M1: created rows with ids ``hwm + 1, hwm + 2, …`` in seq order, plus ``_staff_seq`` = seq (and ``ref``, if given).
 
     Ranks come from ``rank_by`` (range-partitioned sort + per-partition
     offsets), not from a window over one partition.
     """
+    ref = ["ref"] if "ref" in accepted.columns else []
     creates = accepted.where(F.col("op") == "create").select(
-        "seq", *normalised_payload(table, "create"))
+        "seq", *ref, *normalised_payload(table, "create"))
     ranked = rank_by(creates, "seq", "_rank")
     cols = [f.name for f in _fields(table)]
     extra = [F.col("seq").alias("_staff_seq")] if "staff" in cols else []
     base = hwm if isinstance(hwm, Column) else F.lit(hwm)
-    return ranked.select((base.cast("bigint") + F.col("_rank")).alias("id"), *cols, *extra)
+    return ranked.select((base.cast("bigint") + F.col("_rank")).alias("id"), *cols, *extra, *ref)
+
+
+def resolve_refs(accepted: DataFrame, created: DataFrame | None) -> DataFrame:
+    """The accepted keyed changes, with the ids that ``created`` gave to the refs they use."""
+    keyed = accepted.where(F.col("op").isin(*KEYED_OPS))
+    if "ref" not in accepted.columns:
+        return keyed
+    by_id = keyed.where("id is not null").drop("ref")
+    if created is None:
+        return by_id
+    ids = created.where("ref is not null").select(F.col("id").alias("_new_id"), F.col("ref").alias("_new_ref"))
+    by_ref = keyed.where("id is null").join(ids, F.col("ref") == F.col("_new_ref"))
+    return by_id.unionByName(by_ref.withColumn("id", F.col("_new_id")).drop("ref", "_new_id", "_new_ref"))
+
+
+def created_rows(verdicts: DataFrame, table: str, hwm: int | Column) -> DataFrame | None:
+    """``apply_creates`` of a judged set; None, without a checkpoint, if it creates nothing."""
+    accepted = verdicts.where(F.col("verdict") == ACCEPTED)
+    if accepted.where(F.col("op") == "create").isEmpty():
+        return None
+    return apply_creates(accepted, table, hwm)
+
+
+def apply_judged(current: DataFrame, verdicts: DataFrame, table: str, created: DataFrame | None) -> DataFrame:
+    """The table after a judged set whose creates have their ids; has ``_staff_seq`` if it has ``staff``."""
+    keyed = resolve_refs(verdicts.where(F.col("verdict") == ACCEPTED), created)
+    folded = fold_changes(keyed, table)
+    if created is None:
+        return apply_keyed(current, folded, table)
+    if "ref" not in created.columns:
+        return apply_keyed(current, folded, table).unionByName(created)
+    # only rows that can be addressed in this set go through the join
+    named = created.where("ref is not null").drop("ref")
+    result = apply_keyed(current.unionByName(named, allowMissingColumns=True), folded, table)
+    return result.unionByName(created.where("ref is null").drop("ref"))
 
 
 def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: int | None = None,
-                     keep_staff_seq: bool = False, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                     keep_staff_seq: bool = False) -> tuple[DataFrame, DataFrame]:
     """Apply a whole change set; returns ``(new_table, verdicts)``.
 
     ``hwm`` is the persisted high-water mark of issued ids; when unknown it is
-    the table's current max id, as a scalar subquery inside the same plan.
-    ``verdicts`` may be given if the caller has them (and has kept them).
+    the table's current max id, as a scalar subquery inside the same plan. A
+    row created and deleted in one set uses up its id: a store's mark must
+    count it (``sources.store`` takes marks beside the snapshot's ids).
     """
-    verdicts = validate_changes(current, changes, table) if verdicts is None else verdicts
-    accepted = verdicts.where(F.col("verdict") == ACCEPTED)
+    verdicts = validate_changes(current, changes, table)
     if hwm is None:
         hwm = high_water_mark(current).scalar()
-    result = apply_keyed(current, fold_changes(accepted, table), table)
-    if not changes.where(F.col("op") == "create").isEmpty():  # ranking writes a checkpoint: only if there is something to rank
-        result = result.unionByName(apply_creates(accepted, table, hwm))
+    # ranking writes a checkpoint: only if there is something to rank
+    has_creates = not changes.where(F.col("op") == "create").isEmpty()
+    accepted = verdicts.where(F.col("verdict") == ACCEPTED)
+    created = apply_creates(accepted, table, hwm) if has_creates else None
+    result = apply_judged(current, verdicts, table, created)
     if not keep_staff_seq and "_staff_seq" in result.columns:
         result = result.drop("_staff_seq")
     return result, verdicts

@@ -1,12 +1,14 @@
 """Change feed → table snapshots → KPIs with Structured Streaming.
 
-Change files (JSON lines: table, seq, op, id, payload-as-JSON) arrive in a
-folder. A file-source stream reads them; ``foreachBatch`` applies each
+Change files (JSON lines: table, seq, op, id, payload-as-JSON, and optionally
+ref, the sender's name for a row it creates) arrive in a folder. A file-source stream reads them; ``foreachBatch`` applies each
 micro-batch as one change set per table (M1-M6, with the employee-delete
 cascade) and publishes the new snapshots through the versioned store, together
 with the batch id under the feed's name. A replayed batch of the same feed
 finds its id published and is skipped; another feed (another checkpoint)
-counts its own batches. KPIs are read from the latest published snapshots.
+counts its own batches. A batch reads and rewrites only the id buckets that its
+changes, its new ids or its cascades touch. KPIs are read from the latest
+published snapshots.
 
 No change is lost without a record: what is not applied is added to the table
 ``rejects`` (feed, batch, table, seq, op, id, verdict, reason) in the same
@@ -14,7 +16,8 @@ manifest. Besides the verdicts of M6 the reasons are ``bad_table`` (unknown or
 not in the store), ``bad_payload`` (text that is not the table's JSON object,
 an uncastable field included) and ``stale`` (a keyed change whose ``seq`` is
 not above the last one applied to its id in an earlier batch; the table
-``applied`` keeps those).
+``applied`` keeps those). The table ``refs`` keeps the ids that refs were given,
+so a ref holds across batches and a second create of it is a ``duplicate_ref``.
 
 Ordering is by ``seq``, within a batch and per id across batches; there is no
 event time, so no watermark applies.
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from ledgerlake import schemas as S
 from ledgerlake.operators import changes as C
 from ledgerlake.operators import metrics as M
-from ledgerlake.sources.store import TableStore
+from ledgerlake.sources.store import TableStore, max_id
 
 FEED_SCHEMA = T.StructType([
     T.StructField("table", T.StringType()),
@@ -41,14 +44,17 @@ FEED_SCHEMA = T.StructType([
     T.StructField("payload", T.StringType()),
 ])
 
-REJECTS, APPLIED = "rejects", "applied"  # tables of the store beside the data
+STREAM_SCHEMA = T.StructType([*FEED_SCHEMA.fields, T.StructField("ref", T.StringType())])
+
+REJECTS, APPLIED, REFS = "rejects", "applied", "refs"  # tables of the store beside the data
 APPLY_ORDER = ("employees", "customers", "projects", "invoices")
 
 
 def to_feed(changes: DataFrame, table: str) -> DataFrame:
     """A table's change rows in feed form (payload as JSON text)."""
+    ref = ["ref"] if "ref" in changes.columns else []
     return changes.select(F.lit(table).alias("table"), "seq", "op", "id",
-                          F.to_json(F.col("payload")).alias("payload"))
+                          F.to_json(F.col("payload")).alias("payload"), *ref)
 
 
 def from_feed(feed: DataFrame, table: str) -> DataFrame:
@@ -57,7 +63,7 @@ def from_feed(feed: DataFrame, table: str) -> DataFrame:
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     own = F.when(F.col("_p").isNotNull(), F.struct(*[F.col(f"_p.{f.name}") for f in S.payload_schema(table).fields]))
     return (feed.where(F.col("table") == table).withColumn("_p", parsed)
-            .select("seq", "op", "id", own.alias("payload"),
+            .select("seq", "op", "id", "ref", own.alias("payload"),
                     F.coalesce(F.col("_p._corrupt").isNotNull(), F.lit(False)).alias("bad")))
 
 
@@ -72,6 +78,15 @@ def _split(store: TableStore, batch: DataFrame, table: str, feed: str, batch_id:
     rejected = F.lit(C.REJECTED)
     refused = [_refused(rows.where("bad"), feed, batch_id, F.lit(table), rejected, F.lit("bad_payload"))]
     rows = rows.where("not bad").drop("bad")
+    if REFS in store.manifest():
+        # one row per ref of the table; their ids stand in for the refs of this batch
+        held = store.read(REFS).where(F.col("table") == table).select(F.col("ref").alias("_ref"), F.col("id").alias("_held"))
+        rows = rows.join(held, F.col("ref") == F.col("_ref"), "left")
+        again = F.coalesce((F.col("op") == "create") & F.col("_held").isNotNull(), F.lit(False))
+        refused.append(_refused(rows.where(again), feed, batch_id, F.lit(table), rejected, F.lit("duplicate_ref")))
+        by_ref = F.col("op").isin(*C.KEYED_OPS) & F.col("id").isNull()
+        rows = (rows.where(~again).withColumn("id", F.when(by_ref, F.col("_held")).otherwise(F.col("id")))
+                .drop("_ref", "_held"))
     if APPLIED not in store.manifest():
         return rows, refused
     last = (store.read(APPLIED).where(F.col("table") == table).groupBy(F.col("id").alias("_id"))
@@ -86,6 +101,8 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
     """Apply one micro-batch of ``feed`` to the store; returns the published version (None when skipped)."""
     if batch_id <= store.last_batch(feed):
         return None  # already published: a replay after restart
+    if "ref" not in batch.columns:
+        batch = batch.withColumn("ref", F.lit(None).cast("string"))
     batch = batch.persist()
     names, kept = None, []
     try:
@@ -106,30 +123,45 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
             surnames = names = C.deleted_surnames(store.read("employees"), sets["employees"]).persist()
             if surnames.isEmpty():
                 surnames = None
+        refs: list[DataFrame] = []
+        marks: dict[str, int] = {}
+        replaced: dict[str, set[int] | None] = {}
         for table in known:
             touched = table in present
             cascades = surnames is not None and table in S.STAFF_TABLES
             if not (touched or cascades):
                 continue
-            cur = store.read(table)
+            buckets: set[int] | None = set()
+            verdicts = created = None
             if touched:
+                buckets = store.buckets_of(table, sets[table].where(F.col("op").isin(*C.KEYED_OPS)).select("id"))
                 # read by the new snapshot, the rejects and the applied seqs: judged once a batch
-                kept.append(verdicts := C.validate_changes(cur, sets[table], table).persist())
-                new, _ = C.apply_change_set(cur, sets[table], table, hwm=store.hwm(table), keep_staff_seq=cascades,
-                                            verdicts=verdicts)
+                kept.append(verdicts := C.validate_changes(store.read(table, buckets), sets[table], table).persist())
+                created = C.created_rows(verdicts, table, store.hwm(table))
                 missed = verdicts.where(F.col("verdict") != C.ACCEPTED)
                 refused.append(_refused(missed, feed, batch_id, F.lit(table), F.col("verdict"), F.col("reason")))
-                applied.append(verdicts.where((F.col("verdict") == C.ACCEPTED) & F.col("op").isin(*C.KEYED_OPS))
+                applied.append(C.resolve_refs(verdicts.where(F.col("verdict") == C.ACCEPTED), created)
                                .groupBy("id").agg(F.max("seq").alias("seq")).select(F.lit(table).alias("table"), "id", "seq"))
-            else:
-                new = cur.withColumn("_staff_seq", F.lit(None).cast("bigint")) if cascades else cur
+            if created is not None:
+                marks[table] = max_id(created)  # counts the rows that the set itself deletes again
+                refs.append(created.where("ref is not null").select(F.lit(table).alias("table"), "ref", "id"))
+                if buckets is not None:
+                    buckets |= store.bucket_range(table, store.hwm(table) + 1, marks[table])
+            if cascades and buckets is not None:
+                held = store.read(table).join(surnames, F.col("staff") == F.col("_surname"), "left_semi")
+                buckets |= store.buckets_of(table, held.select("id"))
+            cur = store.read(table, buckets)
+            new = cur.withColumn("_staff_seq", F.lit(None).cast("bigint")) if cascades and not touched else cur
+            if touched:
+                new = C.apply_judged(cur, verdicts, table, created)
             if cascades:
-                new = C.cascade_staff(new, surnames).drop("_staff_seq")
-            out[table] = new
+                new = C.cascade_staff(new, surnames)
+            out[table], replaced[table] = new.drop("_staff_seq"), buckets
         added = {REJECTS: reduce(DataFrame.unionByName, refused)}
-        if applied:
-            added[APPLIED] = reduce(DataFrame.unionByName, applied)
-        return store.publish(out, batch_id=batch_id, feed=feed, append=added)
+        for name, frames in ((APPLIED, applied), (REFS, refs)):
+            if frames:
+                added[name] = reduce(DataFrame.unionByName, frames)
+        return store.publish(out, hwms=marks, batch_id=batch_id, feed=feed, append=added, replaced=replaced)
     finally:
         batch.unpersist()
         for frame in [*kept, *([names] if names is not None else [])]:
@@ -139,7 +171,7 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
 def run_change_feed(spark: SparkSession, feed_dir: str, store: TableStore, checkpoint: str,
                     files_per_trigger: int = 1) -> None:
     """Process every available change file (``Trigger.AvailableNow``) and stop."""
-    stream = (spark.readStream.schema(FEED_SCHEMA)
+    stream = (spark.readStream.schema(STREAM_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).json(feed_dir))
     # a checkpoint counts its own batches, so it names the feed
     q = (stream.writeStream.foreachBatch(lambda df, bid: apply_batch(store, df, bid, feed=checkpoint))
