@@ -330,7 +330,9 @@ GROUP BY source, staff""")
 
 def all_sql() -> dict[str, str]:
     from ledgerlake.plans.oracle_changes import change_sql
+    from ledgerlake.plans.oracle_tables import table_sql
     q = base_sql()
     q.update(list_sql())
     q.update(change_sql())
+    q.update(table_sql())
     return q

@@ -227,6 +227,33 @@ def cascade_null(spark, sf):
             .unionByName(e.select(F.lit("employees").alias("source"), "id", F.lit(None).cast("string").alias("staff"))))
 
 
+def _keyed_table(spark, sf, table):
+    read = {"employees": B.employees, "customers": B.customers, "invoices": B.keyed_invoices}[table]
+    return read(spark, sf)
+
+
+def _apply_table(table):
+    def run(spark, sf):
+        cur = _keyed_table(spark, sf, table)
+        return C.apply_change_set(cur, B.table_changes(cur, table), table)[0]
+    return run
+
+
+apply_employee_changes = _apply_table("employees")
+apply_customer_changes = _apply_table("customers")
+apply_invoice_changes = _apply_table("invoices")
+
+
+def table_change_verdicts(spark, sf):
+    """M6 / J3 of the other three tables' change sets, refs included."""
+    parts = []
+    for table in ("employees", "customers", "invoices"):
+        cur = _keyed_table(spark, sf, table)
+        v = C.validate_changes(cur, B.table_changes(cur, table), table)
+        parts.append(v.select(F.lit(table).alias("source"), "seq", "op", "id", "ref", "verdict", "reason"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- ledgers ----------------------------------------------------------------------
 
 ROWS_PER_FILE = 50_000  # of ledger exports and change files
@@ -342,6 +369,10 @@ def all_queries() -> dict[str, Query]:
         "assign_staff": assign_staff,
         "apply_change_set": apply_change_set,
         "cascade_null": cascade_null,
+        "apply_employee_changes": apply_employee_changes,
+        "apply_customer_changes": apply_customer_changes,
+        "apply_invoice_changes": apply_invoice_changes,
+        "table_change_verdicts": table_change_verdicts,
         # ledgers and the stream
         "ledger_load": ledger_load,
         "ledger_rejects": ledger_rejects,

@@ -197,3 +197,58 @@ def employee_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("id") % 9 == 0).select(
         F.col("id").alias("seq"), F.lit("delete").alias("op"), F.col("id"),
         _null(S.payload_schema("employees").simpleString()).alias("payload"))
+
+
+def keyed_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices with an id: one row per invoice number (the largest value of each column)."""
+    inv = invoices(spark, sf_dir)
+    part = F.split("invoice_no", "-")
+    rest = [f.name for f in S.INVOICES.fields if f.name not in ("id", "invoice_no")]
+    return inv.groupBy("invoice_no").agg(*[F.max(c).alias(c) for c in rest]).select(
+        (part[1].cast("bigint") * 8 + part[2].cast("bigint")).alias("id"), "invoice_no", *rest)
+
+
+# Per table: the field that gets garbled, the text field sent as ''.
+CHANGED_FIELDS = {"employees": ("name", "email"), "customers": ("name", "note"), "invoices": ("project_name", "note")}
+
+
+def table_changes(base: DataFrame, table: str) -> DataFrame:
+    """Change set with refs over employees, customers or invoices, one change per id ``k`` (seq = k).
+
+    k % 12: 0 full update (invoices: paid, amount 0), 1 update (every other one without the last required
+    field → rejected; invoices without a payment state, customers with staff ''), 2 delete, 3 create, 4 garbled update,
+    5 update of an unknown id, 6 assign staff (not an operation of these tables), 7 create with the ref ``R<k>``,
+    8 update by the ref ``R<k - 1>``, 9 delete by the ref ``R<k - 2>`` (every other one without → rejected);
+    10 and 11 no change. Bodies are the stored row.
+    """
+    k = F.col("id")
+    r = k % 12
+    first, last = S.REQUIRED_FIELDS[table][0], S.REQUIRED_FIELDS[table][-1]
+    garbled, blank = CHANGED_FIELDS[table]
+    fields = {}
+    for f in S.payload_schema(table).fields:
+        v = F.col(f.name)
+        if f.name == blank:
+            v = F.lit("")
+        if f.name == first:
+            v = F.when(r.isin(3, 7), F.concat(F.lit("New#"), v)).when(r == 8, F.concat(F.lit("Ref#"), v)).otherwise(v)
+        if f.name == garbled:
+            v = F.when(r == 4, F.concat(F.lit("??"), v)).otherwise(v)
+        if f.name == last:
+            v = F.when(k % 24 == 1, F.lit("")).otherwise(v)
+        if f.name == "payment_status":
+            v = F.when(r == 0, F.lit(S.PAYMENT_PAID)).when(r == 1, _null()).when(r == 3, F.lit("")).otherwise(v)
+        if f.name == "amount":
+            v = F.when(r == 0, F.lit(0)).otherwise(v)
+        if f.name == "age_years":
+            v = k % 3
+        if f.name == "staff":
+            v = F.when(r == 1, F.lit("")).otherwise(v)
+        fields[f.name] = F.when(r.isin(0, 1, 3, 4, 5, 7, 8), v).cast(f.dataType).alias(f.name)
+    return base.where(r < 10).select(
+        k.alias("seq"),
+        F.when(r.isin(2, 9), "delete").when(r.isin(3, 7), "create").when(r == 6, "assign_staff").otherwise("update").alias("op"),
+        F.when(r.isin(3, 7, 8, 9), _null("bigint")).when(r == 5, -k).otherwise(k).alias("id"),
+        F.when(r == 7, k).when(r == 8, k - 1).when(k % 24 == 9, k - 2).cast("string").alias("_n"),
+        F.struct(*fields.values()).alias("payload"),
+    ).withColumn("ref", F.concat(F.lit("R"), F.col("_n"))).drop("_n")
