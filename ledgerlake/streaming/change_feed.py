@@ -72,29 +72,28 @@ def _refused(rows: DataFrame, feed: str, batch_id: int, table, verdict, reason)
                        "seq", "op", "id", verdict.alias("verdict"), reason.alias("reason"))
 
 
-def _split(store: TableStore, batch: DataFrame, table: str, feed: str, batch_id: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The applicable changes of one table, and the refused ones (bad payloads, stale seqs)."""
-    rows = from_feed(batch, table)
-    rejected = F.lit(C.REJECTED)
-    refused = [_refused(rows.where("bad"), feed, batch_id, F.lit(table), rejected, F.lit("bad_payload"))]
-    rows = rows.where("not bad").drop("bad")
+def _split(store: TableStore, batch: DataFrame, table: str) -> DataFrame:
+    """A table's changes with ``why`` a change is refused before the table is looked at (null: it is to be judged).
+
+    Refs that earlier batches gave an id are replaced by it.
+    """
+    rows = from_feed(batch, table).withColumn("why", F.when(F.col("bad"), F.lit("bad_payload"))).drop("bad")
+    keyed = F.col("op").isin(*C.KEYED_OPS)
     if REFS in store.manifest():
         # one row per ref of the table; their ids stand in for the refs of this batch
         held = store.read(REFS).where(F.col("table") == table).select(F.col("ref").alias("_ref"), F.col("id").alias("_held"))
         rows = rows.join(held, F.col("ref") == F.col("_ref"), "left")
-        again = F.coalesce((F.col("op") == "create") & F.col("_held").isNotNull(), F.lit(False))
-        refused.append(_refused(rows.where(again), feed, batch_id, F.lit(table), rejected, F.lit("duplicate_ref")))
-        by_ref = F.col("op").isin(*C.KEYED_OPS) & F.col("id").isNull()
-        rows = (rows.where(~again).withColumn("id", F.when(by_ref, F.col("_held")).otherwise(F.col("id")))
+        again = (F.col("op") == "create") & F.col("_held").isNotNull()
+        rows = (rows.withColumn("why", F.coalesce("why", F.when(again, F.lit("duplicate_ref"))))
+                .withColumn("id", F.when(keyed & F.col("id").isNull(), F.col("_held")).otherwise(F.col("id")))
                 .drop("_ref", "_held"))
-    if APPLIED not in store.manifest():
-        return rows, refused
-    last = (store.read(APPLIED).where(F.col("table") == table).groupBy(F.col("id").alias("_id"))
-            .agg(F.max("seq").alias("_last")))
-    rows = rows.join(last, F.col("id") == F.col("_id"), "left")
-    stale = F.coalesce(F.col("op").isin(*C.KEYED_OPS) & (F.col("seq") <= F.col("_last")), F.lit(False))
-    refused.append(_refused(rows.where(stale), feed, batch_id, F.lit(table), rejected, F.lit("stale")))
-    return rows.where(~stale).drop("_id", "_last"), refused
+    if APPLIED in store.manifest():
+        last = (store.read(APPLIED).where(F.col("table") == table).groupBy(F.col("id").alias("_id"))
+                .agg(F.max("seq").alias("_last")))
+        rows = rows.join(last, F.col("id") == F.col("_id"), "left")
+        stale = keyed & (F.col("seq") <= F.col("_last"))
+        rows = rows.withColumn("why", F.coalesce("why", F.when(stale, F.lit("stale")))).drop("_id", "_last")
+    return rows
 
 
 def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str = "") -> int | None:
@@ -116,8 +115,9 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
         applied: list[DataFrame] = []
         sets: dict[str, DataFrame] = {}
         for table in sorted(present):
-            sets[table], more = _split(store, batch, table, feed, batch_id)
-            refused += more
+            kept.append(split := _split(store, batch, table).persist())
+            sets[table] = split.where("why is null").drop("why")
+            refused.append(_refused(split.where("why is not null"), feed, batch_id, F.lit(table), F.lit(C.REJECTED), F.col("why")))
         surnames = None
         if "employees" in present:
             surnames = names = C.deleted_surnames(store.read("employees"), sets["employees"]).persist()
@@ -144,7 +144,8 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
                                .groupBy("id").agg(F.max("seq").alias("seq")).select(F.lit(table).alias("table"), "id", "seq"))
             if created is not None:
                 marks[table] = max_id(created)  # counts the rows that the set itself deletes again
-                refs.append(created.where("ref is not null").select(F.lit(table).alias("table"), "ref", "id"))
+                named = created.where("ref is not null").select(F.lit(table).alias("table"), "ref", "id")
+                refs += [] if named.isEmpty() else [named]
                 if buckets is not None:
                     buckets |= store.bucket_range(table, store.hwm(table) + 1, marks[table])
             if cascades and buckets is not None:
