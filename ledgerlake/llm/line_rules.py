@@ -83,7 +83,8 @@ def line_first(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_removed_lines, lost_chars (long), base_failed, kept (boolean) and
-    clean_text; columns of these names in ``docs`` are replaced.
+    clean_text; columns of these names in ``docs`` are replaced, and ones named
+    like the helpers (_t, _w, _h, _s, _p, _bp, _facts, _full, _good) are dropped.
     """
     out = docs.withColumn("_t", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     t = F.col("_t")

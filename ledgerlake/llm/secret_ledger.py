@@ -133,7 +133,10 @@ def update_ledger(versions: DataFrame, path: str | None = None, rules: Sequence[
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every row of ``versions`` with ``findings``: those of its blob under the given rule versions, by start."""
+    """Every row of ``versions`` with ``findings``: those of its blob under the given rule versions, by start.
+
+    Also added: ``blob``. Columns of these two names in ``versions`` are replaced.
+    """
     kinds = [r.kind for r in rules]
     keys = F.array(*[F.lit(r.key) for r in rules])
     order = F.array(*[F.lit(k) for k in kinds])
@@ -145,7 +148,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
                     F.col("f.start").alias("start"), F.array_position(order, F.col("f.kind")).alias("o"),
                     F.col("f.stop").alias("stop"), F.col("f.kind").alias("kind")))).alias("_f"))
                 .select("blob", F.transform("_f", lambda f: F.struct(f["kind"], f["start"], f["stop"])).cast(FINDINGS).alias("findings")))
-    named = versions.withColumn("blob", _blob(F.coalesce("content", F.lit(""))))
+    named = versions.drop("findings").withColumn("blob", _blob(F.coalesce("content", F.lit(""))))
     spread = F.monotonically_increasing_id()
     out = salted_left_join(named, per_blob, ["blob"], spread)
     return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))

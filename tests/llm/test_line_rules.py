@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from ledgerlake.llm import line_rules as R
 
@@ -58,6 +59,15 @@ def test_lines_are_removed_and_losers_rejected(spark):
     assert not data[12].kept and data[2].clean_text == ""
 
 
+def test_clashing_names(spark):
+    names = ["n_words", "clean_text", "lost_chars", "_t", "_facts", "_w", "extra"]
+    df = spark.createDataFrame([(i, t) for i, t in rows()], "doc_id long, text string")
+    clash = df.select("*", *[F.lit("x").alias(n) for n in names])
+    out = R.line_first(clash)
+    assert set(out.columns) == {*R.line_first(df).columns, "extra"}
+    assert Counter(out.drop("extra").select(*R.line_first(df).columns).collect()) == Counter(R.line_first(df).collect())
+
+
 def test_empty_table(spark):
     assert R.line_first(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

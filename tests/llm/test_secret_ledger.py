@@ -66,3 +66,12 @@ def test_query_digests(spark, tmp_path):
     rows = {r.doc_id: r for r in queries.op3_secret_ledger(spark, str(tmp_path)).collect()}
     assert rows[4].spans == ",".join(f"{k}:{s}:{e}" for k, s, e in plain(TEXTS[4]))
     assert rows[5].n_access == 2 and rows[0].n_hex == 0
+
+
+def test_clashing_names(spark):
+    df = docs(spark, TEXTS).withColumn("findings", F.lit("mine")).withColumn("blob", F.lit("b")).withColumn("todo", F.lit(None).cast("int"))
+    ledger = spark.read.schema(S.LEDGER).parquet(S.update_ledger(df))
+    out = S.findings(df, ledger)
+    assert sorted(out.columns) == ["blob", "content", "doc_id", "findings", "rules", "todo"]
+    got = {r.doc_id: [tuple(f) for f in r.findings] for r in out.collect()}
+    assert got[3] == plain(TEXTS[3]) and {r.rules for r in out.collect()} == {"b"}
