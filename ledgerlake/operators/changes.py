@@ -38,6 +38,7 @@ from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
 from ledgerlake.operators import filters as P
 from ledgerlake.plans.joins import rank_by
+from ledgerlake.session import scratch_path
 
 OPS = ("create", "update", "delete", "assign_staff")
 ASSIGNABLE = ("projects",)  # tables whose staff can be assigned by itself
@@ -261,8 +262,13 @@ def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: in
         hwm = high_water_mark(current).scalar()
     # ranking writes a checkpoint: only if there is something to rank
     has_creates = not changes.where(F.col("op") == "create").isEmpty()
-    accepted = verdicts.where(F.col("verdict") == ACCEPTED)
-    created = apply_creates(accepted, table, hwm) if has_creates else None
+    created = None
+    if has_creates:
+        # the ranking and the folds read the verdicts several times: judge once, into a written table
+        path = scratch_path(changes.sparkSession, f"verdicts-{table}")
+        verdicts.write.parquet(path)
+        verdicts = changes.sparkSession.read.schema(verdicts.schema).parquet(path)
+        created = apply_creates(verdicts.where(F.col("verdict") == ACCEPTED), table, hwm)
     result = apply_judged(current, verdicts, table, created)
     if not keep_staff_seq and "_staff_seq" in result.columns:
         result = result.drop("_staff_seq")
