@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, html_main, line_rules, minhash, packing, quality_classifier, secret_ledger, substring_dedup, topk, warc
+from ledgerlake.llm import (
+    bpe,
+    hard_negatives,
+    html_main,
+    line_dedup,
+    line_rules,
+    minhash,
+    packing,
+    quality_classifier,
+    secret_ledger,
+    spelling,
+    substring_dedup,
+    topk,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +90,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "sequence_id", "offset", "bucket")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(_table(spark, sf_dir, "documents")))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -88,6 +117,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": op8_html_main_text,
         "op9_line_rules": op9_line_rules,
         "op10_packing": op10_packing,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -98,4 +130,7 @@ def all_sql() -> dict[str, str]:
         "op6_topk": topk.sql(),
         "op7_minhash_dedup": minhash.sql(),
         "op9_line_rules": line_rules.sql(),
+        "op11_line_dedup": line_dedup.sql(),
+        "op12_hard_negatives": hard_negatives.sql(),
+        "op13_spelling_variants": spelling.sql(),
     }
