@@ -6,10 +6,11 @@ neighbouring pairs wait in a priority queue, and an entry whose symbols have
 changed since is stale and skipped. Decoding concatenates the vocabulary
 strings of the ids and maps them back to bytes.
 
-Pieces are cut first at single spaces between non-space characters: the split
-pattern never joins across such a space, so a word and its leading space are
-encoded alike wherever they stand, and a bounded table keeps the frequent ones.
-Texts with other runs of spaces go through the split pattern itself.
+Stretches are cut first at single spaces whose neighbours are both no white
+space of any kind: the split pattern never joins across such a space, so a word
+and its leading space are encoded alike wherever they stand, and a bounded
+table keeps the frequent ones. What lies between goes through the split
+pattern itself, runs of other white space included.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text;
 a text of any length is encoded whole.
@@ -122,7 +123,9 @@ class PieceTable:
         self.spaced: dict[str, bytes] = {}  # pieces after one space
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self.split = regex.compile(SPLIT)
+        # Python's white space holds all of Unicode's and four control characters: a space beside those is not cut at
+        self.ragged = re.compile(r"^ | $| \s|\s ")
+        self.space = re.compile(r"(?<=\S) (?=\S)")
 
     def _look_up(self, pieces: list[str], table: dict[str, bytes], lead: str) -> list[bytes]:
         try:
@@ -137,9 +140,7 @@ class PieceTable:
             return [table.get(p) or extra[p] for p in pieces]
 
     def _segment(self, text: str) -> list[bytes]:
-        pieces = text.split(" ")
-        if "" in pieces:
-            return self._look_up(self.split.findall(text), self.first, "")
+        pieces = self.space.split(text) if self.ragged.search(text) else text.split(" ")
         return self._look_up(pieces[:1], self.first, "") + self._look_up(pieces[1:], self.spaced, " ")
 
     def ids(self, text: str) -> bytes:

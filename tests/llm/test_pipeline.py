@@ -87,4 +87,4 @@ def test_empty_table_and_registration(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).collect() == []
     import __spark_entry__ as E
     names = E.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13

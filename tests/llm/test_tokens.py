@@ -1,5 +1,6 @@
 """BPE and packing against the tokenizers library."""
 
+import itertools
 import random
 import zlib
 
@@ -48,6 +49,19 @@ def test_full_table_still_encodes(library):
         assert np.frombuffer(table.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_every_short_mix_of_white_space(library):
+    """All strings up to length 6 of a letter, a digit and four kinds of white space, and random longer ones."""
+    alphabet = "a1 \u00a0\t\n"
+    texts = ["".join(x) for n in range(7) for x in itertools.product(alphabet, repeat=n)]
+    rnd = random.Random(3)
+    wide = alphabet + " \u3000\u2028\x1cb.'é"
+    texts += ["".join(rnd.choice(wide) for _ in range(rnd.randrange(7, 40))) for _ in range(20_000)]
+    texts.append("Prix : \xa0 \xa0 12 euros")
+    _, table = bpe._table(bpe.public_vocabulary())
+    for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(table.ids(t), "<u4").tolist() == want.ids, repr(t)
+
+
 def test_packing(spark, library):
     texts = [*TEXTS, "word " * 5000, *random_texts(100)]
     rows = packing.pack(frame(spark, texts)).collect()
