@@ -25,8 +25,10 @@ with a probability of 3e-7; every link that is returned is confirmed exactly
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has one shingle, the whole
-sequence; rows that share a doc_id are one document for linking; a row with a
-null doc_id has a null component and is kept.
+sequence; rows that share a doc_id are one document, all of one component; a
+row with a null doc_id has a null component and is kept; a very long text is
+signed from its distinct shingles, whole; an empty table gives an empty table;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -144,10 +146,10 @@ def _merge_lists(need: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches, ["token", "b1", "b2"]):
             group = group.combine_chunks()
-            ids = group.column("rep").to_numpy()
-            ids, at = np.unique(ids, return_index=True)
-            if len(ids) < 2:
+            if len(group) < 2:
                 continue
+            at = np.argsort(group.column("rep").to_numpy(), kind="stable")
+            ids = group.column("rep").to_numpy()[at]
             size = group.column("n").to_numpy()[at].astype(np.float64)
             sig = np.frombuffer(b"".join(group.column("sig8").to_pylist()), np.uint8).reshape(len(group), -1)[at]
 
@@ -165,13 +167,17 @@ def _merge_lists(need: int, threshold: float):
 
 
 def _pack_sets(size: int):
+    """The full sets of the members; repeated rows of a document stand next to each other and go as one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                sets = _sets(Words(part.column("text"), lower=True), size)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("family"), part.column("b1"), part.column("b2"), part.column("rep"),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["family", "b1", "b2", "rep", "shingles"])
+                sets = [s.tobytes() for s in _sets(Words(part.column("text"), lower=True), size)]
+                place = zip(*(part.column(c).to_pylist() for c in ("family", "b1", "b2", "rep")), sets, strict=True)
+                first = list({p: i for i, p in reversed(list(enumerate(place)))}.values())
+                rows = part.select(["family", "b1", "b2", "rep"]).take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([sets[i] for i in first], pa.binary())],
+                                                 ["family", "b1", "b2", "rep", "shingles"])
 
     return run
 
@@ -221,16 +227,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     # below this size two different sets cannot reach the threshold
     least = next(n for n in range(1, 1001) if 100 * n >= per_cent * (n + 1))
     active = classes.where(F.col("n_shingles") >= least)
-    posted = active.select("rep", F.posexplode("sig").alias("k", "v")).select(
-        "rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
+    # a doc_id with several texts stands for several classes, so postings go by class (s1), links by document (rep)
+    posted = active.select("s1", F.posexplode("sig").alias("k", "v")).select(
+        "s1", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     prefix = (posted.join(shared, "token")
-              .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posts"))
+              .groupBy("s1").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posts"))
               .where(F.size("posts") >= MATCHES)
-              .select("rep", F.slice("posts", 1, F.size("posts") - MATCHES + 1).alias("posts")))
+              .select("s1", F.slice("posts", 1, F.size("posts") - MATCHES + 1).alias("posts")))
     blocks = F.ceil(F.col("df") / LIST_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    lists = (active.select("rep", F.col("n_shingles").alias("n"), "sig8").join(prefix, "rep")
+    lists = (active.select("rep", "s1", F.col("n_shingles").alias("n"), "sig8").join(prefix, "s1")
              .select("rep", "n", "sig8", F.explode("posts").alias("p"))
              .select(F.col("p.token").alias("token"), F.col("p.df").alias("df"), "rep", "n", "sig8")
              .withColumn("nb", blocks).transform(lambda d: _block_pairs(d, own))
@@ -238,7 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     near = (lists.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
             .mapInArrow(_merge_lists(MATCHES, threshold), "a long, b long"))
     families = written(components(near, "minhash-families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
-                       .join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"), "minhash-family-sizes")
+                       .join(classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep"), "minhash-family-sizes")
     sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("nb"))
     placed = families.join(sizes, "family").transform(lambda d: _block_pairs(d, own)).select("family", "b1", "b2", "rep")
     # the members grow with the documents, so their side is never broadcast, at any size
@@ -247,14 +254,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
             .mapInArrow(_pack_sets(shingle), "family long, b1 int, b2 int, rep long, shingles binary"))
     links = (sets.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2")
              .mapInArrow(_confirm(per_cent), "a long, b long"))
-    found = components(links, "minhash-links")
+    of_several = _of_several_classes(signed, classes)
+    found = components(links.unionByName(of_several), "minhash-links")
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = salted_left_join(signed.select("doc_id", "n_shingles", "s1", "s2"), of_class, ["s1", "s2", "n_shingles"],
-                           F.col("doc_id"))
+    full = salted_left_join(signed.where("n_shingles > 0").select("doc_id", "n_shingles", "s1", "s2"), of_class,
+                            ["s1", "s2", "n_shingles"], F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
+    empty = salted_left_join(signed.where("n_shingles = 0").select("doc_id", "n_shingles"),
+                             found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")),
+                             ["doc_id"], F.col("n_shingles"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return full.unionByName(empty).select("doc_id", "n_shingles", component.alias("component_id"),
+                                          F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _of_several_classes(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id whose rows lie in several classes and the representatives of those classes."""
+    key = F.struct("s1", "s2", "n_shingles")
+    known = signed.where("doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
+    rows = known.select("doc_id", "s1", "s2", "n_shingles").join(several, "doc_id", "left_semi").distinct()
+    return rows.join(classes.select("s1", "s2", "n_shingles", "rep"), ["s1", "s2", "n_shingles"]).select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def _block_pairs(df: DataFrame, own) -> DataFrame:

@@ -70,3 +70,17 @@ def test_five_word_shingles_and_empty_table(spark):
     rows = corpus(4)
     assert run(spark, rows, shingle=5) == brute(rows, 5)
     assert run(spark, []) == []
+
+
+def test_rows_of_one_doc_id_are_one_document(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v w", "k l m n o p"
+    rows = [(1, b), (5, b), (5, a), (9, a), (9, None), (20, ""), (20, c), (21, c), (30, None), (30, " ")]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert {d: comp for d, _, comp, _ in got} == {1: 1, 5: 1, 9: 1, 20: 20, 21: 20, 30: 30}
+
+
+def test_shared_doc_ids_match_all_pairs(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(40) if i is not None else None, t) for i, t in corpus(5)]
+    assert run(spark, rows) == brute(rows)
