@@ -10,6 +10,10 @@ applied them to one request:
 3. an update, assignment or delete of an unknown id → unmatched; so is any
    change of an id after that id's first delete in the set.
 
+A ``seq`` stands for one request. Of rows that share one, the smallest by (op,
+id, ref, payload) stands and the others are rejected (``duplicate_seq``) before
+those rules; a change without a ``seq`` is rejected (``missing_seq``).
+
 A set may carry a ``ref`` column: a name the sender gives to a row it creates,
 so that later changes of the set can address it before its id is known
 (``id`` null, ``ref`` set). The first accepted create of a ref holds it; a
@@ -22,10 +26,12 @@ defaults); a staff assignment after it changes only ``staff``; a delete
 removes the row. Creates get new ids above the table's high-water mark in
 ``seq`` order.
 
-Everything is keyed aggregation and joins on ``id``: per-id folds are
-``max(struct(seq, ...))`` aggregates (partial aggregation absorbs a hot id),
-and the per-id result (unique keys) is joined to the table, so no group is
-ever collected into one task.
+Everything is keyed aggregation and joins on ``id``: one grouped fold per id
+(deleted or not, last update, last assignment: ``max(struct(seq, ...))``, so
+partial aggregation absorbs a hot id) is joined to the table, whose ids are
+unique. The same join drops changes of unknown ids, and what comes after an
+id's first delete cannot matter, so the new table needs no verdicts; those are
+a plan of their own, run only if read.
 """
 
 from __future__ import annotations
@@ -38,13 +44,13 @@ from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
 from ledgerlake.operators import filters as P
 from ledgerlake.plans.joins import rank_by
-from ledgerlake.session import scratch_path
 
 OPS = ("create", "update", "delete", "assign_staff")
 ASSIGNABLE = ("projects",)  # tables whose staff can be assigned by itself
 KEYED_OPS = ("update", "delete", "assign_staff")
 
 ACCEPTED, REJECTED, UNMATCHED = "accepted", "rejected", "unmatched"
+DUPLICATE = "duplicate_seq"
 
 
 def _fields(table: str) -> list[T.StructField]:
@@ -89,14 +95,51 @@ def reject_reason(table: str, with_ref: bool = False) -> Column:
     needs_required = op.isin("create", "update")
     missing = P.missing_required(table, "payload.") if table in S.REQUIRED_FIELDS else F.lit(None).cast("string")
     allowed = OPS if table in ASSIGNABLE else tuple(o for o in OPS if o != "assign_staff")
-    return (F.when(~op.isin(*allowed) | op.isNull(), F.lit("bad_op"))
+    return (F.when(F.col("seq").isNull(), F.lit("missing_seq"))
+            .when(~op.isin(*allowed) | op.isNull(), F.lit("bad_op"))
             .when(op.isin(*KEYED_OPS) & F.col("id").isNull() & (F.col("ref").isNull() if with_ref else F.lit(True)),
                   F.lit("missing_id"))
             .when(has_body & garbled.isNotNull(), F.concat(F.lit("garbled:"), garbled))
             .when(needs_required & missing.isNotNull(), F.concat(F.lit("required:"), missing)))
 
 
-def validate_changes(current: DataFrame, changes: DataFrame, table: str) -> DataFrame:
+def _ordered(changes: DataFrame) -> Column:
+    """The order of change rows that share a seq."""
+    return F.struct("op", "id", *(["ref"] if "ref" in changes.columns else []), "payload")
+
+
+def set_facts(changes: DataFrame) -> tuple[bool, bool]:
+    """Has the set creates, and does it repeat a seq? One small aggregate over (seq, op)."""
+    per_seq = changes.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("op") == "create").alias("c"))
+    row = per_seq.agg(F.max("c"), F.max(F.when(F.col("seq").isNotNull(), F.col("n")))).first()
+    return bool(row[0]), (row[1] or 0) > 1
+
+
+def first_deliveries(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(standing, repeats)``: one row for each seq, and all further rows.
+
+    Equal rows are counted in an aggregate before anything is compared, so a
+    row delivered a million times is one row a task; only rows of a repeated
+    seq take part.
+    """
+    cols = changes.columns
+    often = changes.where("seq is not null").groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seq")
+    counted = (changes.join(often, "seq", "left_semi").select("seq", F.struct(*cols).alias("_row"), _ordered(changes).alias("_k"))
+               .groupBy("seq", "_row", "_k").agg(F.count(F.lit(1)).alias("_n")))
+    first = counted.groupBy("seq").agg(F.min(F.struct("_k", "_row")).alias("_m")).select("seq", F.col("_m._row").alias("_first"))
+    stands = first.select("_first.*")
+    spare = F.col("_n") - F.when(F.col("_row").eqNullSafe(F.col("_first")), 1).otherwise(0)
+    repeats = (counted.join(first, "seq").where(spare > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), spare)))
+               .select("_row.*"))
+    return changes.join(often, "seq", "left_anti").select(*cols).unionByName(stands), repeats
+
+
+def valid_changes(changes: DataFrame, table: str) -> DataFrame:
+    """The rows that pass the rules on the change itself (P9, P10, known operation, some id)."""
+    return changes.where(reject_reason(table, "ref" in changes.columns).isNull())
+
+
+def validate_changes(current: DataFrame, changes: DataFrame, table: str, unique: bool = False) -> DataFrame:
     """Every change with ``verdict`` (accepted / rejected / unmatched) and ``reason``.
 
     Creates and rejected rows are judged where they lie. Of the keyed rows,
@@ -104,9 +147,14 @@ def validate_changes(current: DataFrame, changes: DataFrame, table: str) -> Data
     the join never multiplies rows; a hot id on the change side is split by
     AQE's skew handling). The first delete per id comes from a grouped min
     joined back on id. Rows that use ``ref`` are judged by ``_judge_refs``.
+    ``unique``: the caller knows that no seq is repeated.
     """
     with_ref = "ref" in changes.columns
     cols = ["seq", "op", "id", *(["ref"] if with_ref else []), "payload"]
+    if not unique and set_facts(changes)[1]:
+        changes, repeats = first_deliveries(changes.select(*cols))
+        rest = repeats.select(*cols, F.lit(REJECTED).alias("verdict"), F.lit(DUPLICATE).alias("reason"))
+        return validate_changes(current, changes, table, unique=True).unionByName(rest)
     marked = changes.withColumn("reason", reject_reason(table, with_ref))
     ok = F.col("reason").isNull()
     keyed_ok = ok & F.col("op").isin(*KEYED_OPS) & F.col("id").isNotNull()
@@ -153,13 +201,11 @@ def fold_changes(accepted: DataFrame, table: str) -> DataFrame:
     """
     keyed = accepted.where(F.col("op").isin(*KEYED_OPS))
     upd = F.struct(F.col("seq"), F.struct(*normalised_payload(table, "update")).alias("row"))
-    has_staff = "staff" in [f.name for f in _fields(table)]
     aggs = [
         F.max(F.when(F.col("op") == "update", upd)).alias("_upd"),
         F.max(F.col("op") == "delete").alias("_deleted"),
-        F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("_delete_seq"),
     ]
-    if has_staff:
+    if "staff" in [f.name for f in _fields(table)]:
         asg = F.struct(F.col("seq"), falsy_to_null(F.col("payload.staff"), T.StringType()).alias("staff"))
         aggs.append(F.max(F.when(F.col("op") == "assign_staff", asg)).alias("_asg"))
     return keyed.groupBy("id").agg(*aggs)
@@ -197,33 +243,43 @@ def high_water_mark(current: DataFrame) -> DataFrame:
     return current.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_hwm"))
 
 
+def standing_creates(valid: DataFrame) -> DataFrame:
+    """The creates that hold: all without a ref, and the first of each ref."""
+    creates = valid.where(F.col("op") == "create")
+    if "ref" not in valid.columns:
+        return creates.select("seq", "op", "payload")
+    first = (creates.where("ref is not null").groupBy("ref").agg(F.min(F.struct("seq", "payload")).alias("c"))
+             .select("c.seq", F.lit("create").alias("op"), "ref", "c.payload"))
+    return creates.where("ref is null").select("seq", "op", "ref", "payload").unionByName(first)
+
+
 def apply_creates(accepted: DataFrame, table: str, hwm: int | Column) -> DataFrame:
-    """M1: created rows with ids ``hwm + 1, hwm + 2, …`` in seq order, plus ``_staff_seq`` = seq (and ``ref``, if given).
+    """M1: created rows with ids ``hwm + 1, hwm + 2, …`` in seq order, plus ``_staff_seq`` = seq.
 
-    Ranks come from ``rank_by`` (range-partitioned sort + per-partition
-    offsets), not from a window over one partition.
+    If the set has refs, also ``ref`` and ``_born``, the create's seq. Ranks
+    come from ``rank_by`` over the seqs alone; payloads join them once.
     """
-    ref = ["ref"] if "ref" in accepted.columns else []
-    creates = accepted.where(F.col("op") == "create").select(
-        "seq", *ref, *normalised_payload(table, "create"))
+    extra = ["ref"] if "ref" in accepted.columns else []
+    creates = accepted.where(F.col("op") == "create").select("seq", *extra, *normalised_payload(table, "create"))
     ranked = rank_by(creates, "seq", "_rank")
     cols = [f.name for f in _fields(table)]
-    extra = [F.col("seq").alias("_staff_seq")] if "staff" in cols else []
+    marks = [F.col("seq").alias("_staff_seq")] if "staff" in cols else []
+    marks += [F.col("ref"), F.col("seq").alias("_born")] if extra else []
     base = hwm if isinstance(hwm, Column) else F.lit(hwm)
-    return ranked.select((base.cast("bigint") + F.col("_rank")).alias("id"), *cols, *extra, *ref)
+    return ranked.select((base.cast("bigint") + F.col("_rank")).alias("id"), *cols, *marks)
 
 
-def resolve_refs(accepted: DataFrame, created: DataFrame | None) -> DataFrame:
-    """The accepted keyed changes, with the ids that ``created`` gave to the refs they use."""
-    keyed = accepted.where(F.col("op").isin(*KEYED_OPS))
-    if "ref" not in accepted.columns:
+def resolve_refs(keyed: DataFrame, created: DataFrame | None) -> DataFrame:
+    """Keyed changes by id: refs are replaced by the ids that ``created`` gave; what precedes its row's create drops out."""
+    keyed = keyed.where(F.col("op").isin(*KEYED_OPS))
+    if "ref" not in keyed.columns:
         return keyed
     by_id = keyed.where("id is not null").drop("ref")
     if created is None:
         return by_id
-    ids = created.where("ref is not null").select(F.col("id").alias("_new_id"), F.col("ref").alias("_new_ref"))
-    by_ref = keyed.where("id is null").join(ids, F.col("ref") == F.col("_new_ref"))
-    return by_id.unionByName(by_ref.withColumn("id", F.col("_new_id")).drop("ref", "_new_id", "_new_ref"))
+    ids = created.where("ref is not null").select(F.col("id").alias("_new_id"), F.col("ref").alias("_new_ref"), "_born")
+    by_ref = keyed.where("id is null").join(ids, F.col("ref") == F.col("_new_ref")).where(F.col("seq") > F.col("_born"))
+    return by_id.unionByName(by_ref.withColumn("id", F.col("_new_id")).drop("ref", "_new_id", "_new_ref", "_born"))
 
 
 def created_rows(verdicts: DataFrame, table: str, hwm: int | Column) -> DataFrame | None:
@@ -234,18 +290,17 @@ def created_rows(verdicts: DataFrame, table: str, hwm: int | Column) -> DataFram
     return apply_creates(accepted, table, hwm)
 
 
-def apply_judged(current: DataFrame, verdicts: DataFrame, table: str, created: DataFrame | None) -> DataFrame:
-    """The table after a judged set whose creates have their ids; has ``_staff_seq`` if it has ``staff``."""
-    keyed = resolve_refs(verdicts.where(F.col("verdict") == ACCEPTED), created)
-    folded = fold_changes(keyed, table)
+def apply_valid(current: DataFrame, valid: DataFrame, table: str, created: DataFrame | None) -> DataFrame:
+    """The table after valid (or accepted) changes whose creates have their ids; has ``_staff_seq`` if it has ``staff``."""
+    folded = fold_changes(resolve_refs(valid, created), table)
     if created is None:
         return apply_keyed(current, folded, table)
     if "ref" not in created.columns:
         return apply_keyed(current, folded, table).unionByName(created)
     # only rows that can be addressed in this set go through the join
-    named = created.where("ref is not null").drop("ref")
+    named = created.where("ref is not null").drop("ref", "_born")
     result = apply_keyed(current.unionByName(named, allowMissingColumns=True), folded, table)
-    return result.unionByName(created.where("ref is null").drop("ref"))
+    return result.unionByName(created.where("ref is null").drop("ref", "_born"))
 
 
 def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: int | None = None,
@@ -257,19 +312,17 @@ def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: in
     row created and deleted in one set uses up its id: a store's mark must
     count it (``sources.store`` takes marks beside the snapshot's ids).
     """
-    verdicts = validate_changes(current, changes, table)
-    if hwm is None:
-        hwm = high_water_mark(current).scalar()
-    # ranking writes a checkpoint: only if there is something to rank
-    has_creates = not changes.where(F.col("op") == "create").isEmpty()
+    has_creates, repeats = set_facts(changes)
+    verdicts = validate_changes(current, changes, table, unique=not repeats)
+    if repeats:
+        changes = first_deliveries(changes)[0]
+    valid = valid_changes(changes, table)
     created = None
     if has_creates:
-        # the ranking and the folds read the verdicts several times: judge once, into a written table
-        path = scratch_path(changes.sparkSession, f"verdicts-{table}")
-        verdicts.write.parquet(path)
-        verdicts = changes.sparkSession.read.schema(verdicts.schema).parquet(path)
-        created = apply_creates(verdicts.where(F.col("verdict") == ACCEPTED), table, hwm)
-    result = apply_judged(current, verdicts, table, created)
+        if hwm is None:
+            hwm = high_water_mark(current).scalar()
+        created = apply_creates(standing_creates(valid), table, hwm)
+    result = apply_valid(current, valid, table, created)
     if not keep_staff_seq and "_staff_seq" in result.columns:
         result = result.drop("_staff_seq")
     return result, verdicts
@@ -277,18 +330,33 @@ def apply_change_set(current: DataFrame, changes: DataFrame, table: str, hwm: in
 
 # --- M5: employee delete with cascade ----------------------------------------
 def deleted_surnames(employees: DataFrame, employee_changes: DataFrame, mode: str = "any") -> DataFrame:
-    """Surnames of employees deleted by accepted changes, with the latest delete seq.
+    """Surnames of employees deleted by the changes, with the seq of the (latest) delete.
 
-    The name is the one the employee had at its delete: the last accepted full
-    update before it, else the stored name. One row per surname.
+    The name is the one the employee had at the delete: the last valid full
+    update before it, else the name of its create (a row addressed by ``ref``),
+    else the stored name. One row per surname. A seq must not be repeated.
     """
-    verdicts = validate_changes(employees, employee_changes, "employees")
-    folded = fold_changes(verdicts.where(F.col("verdict") == ACCEPTED), "employees").where(F.col("_deleted"))
-    e = employees.select(F.col("id").alias("_eid"), F.col("name").alias("_stored"))
-    named = folded.join(e, folded.id == e._eid, "inner").select(
-        N.surname(F.coalesce(F.col("_upd.row.name"), F.col("_stored")), mode).alias("_surname"),
-        F.col("_delete_seq"))
-    return named.groupBy("_surname").agg(F.max("_delete_seq").alias("_cascade_seq"))
+    valid = valid_changes(employee_changes, "employees").select("seq", "op", "id", F.col("payload.name").alias("_name"),
+                                                                *(["ref"] if "ref" in employee_changes.columns else []))
+    stored = employees.select("id", F.col("name").alias("_stored"), F.lit(None).cast("bigint").alias("_born"))
+    gone = _names_at_delete(valid.where("id is not null"), stored, "id")
+    if "ref" in valid.columns:
+        born = (valid.where("op = 'create' and ref is not null").groupBy("ref").agg(F.min(F.struct("seq", "_name")).alias("c"))
+                .select("ref", F.col("c._name").alias("_stored"), F.col("c.seq").alias("_born")))
+        gone = gone.unionByName(_names_at_delete(valid.where("id is null and ref is not null"), born, "ref"))
+    return gone.select(N.surname("_name", mode).alias("_surname"), "_seq").groupBy("_surname").agg(
+        F.max("_seq").alias("_cascade_seq"))
+
+
+def _names_at_delete(valid: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(_name, _seq) of the first delete of each of ``rows`` (key, _stored, _born) that has one."""
+    later = F.coalesce(F.col("seq") > F.col("_born"), F.lit(True))
+    deletes = (valid.where("op = 'delete'").join(rows, key).where(later)
+               .groupBy(key).agg(F.min("seq").alias("_seq"), F.first("_stored").alias("_stored"), F.first("_born").alias("_born")))
+    renamed = (valid.where("op = 'update'").join(deletes.select(key, "_seq", "_born"), key)
+               .where((F.col("seq") < F.col("_seq")) & later)
+               .groupBy(key).agg(F.max(F.struct("seq", "_name")).alias("_u")))
+    return deletes.join(renamed, key, "left").select(F.coalesce("_u._name", "_stored").alias("_name"), "_seq")
 
 
 def cascade_staff(table: DataFrame, surnames: DataFrame) -> DataFrame:
@@ -313,6 +381,8 @@ def delete_employees_with_cascade(employees: DataFrame, projects: DataFrame, cus
     Returns the three new tables. Projects and customers keep their other
     columns unchanged; publish all three together (see ``sources.store``).
     """
+    if set_facts(employee_changes)[1]:
+        employee_changes = first_deliveries(employee_changes)[0]
     new_emp, _ = apply_change_set(employees, employee_changes, "employees")
     names = deleted_surnames(employees, employee_changes)
     p = cascade_staff(projects.withColumn("_staff_seq", F.lit(None).cast("bigint")), names).drop("_staff_seq")

@@ -51,6 +51,23 @@ def kpi_summary(projects: DataFrame, invoices: DataFrame) -> DataFrame:
     return tagged_union(projects, invoices).agg(*kpi_aggregates())
 
 
+def kpi_parts(table: str):
+    """A1 of one table (projects or invoices) per bucket, as a derivation for a ``TableStore``: rows (id, its KPIs)."""
+    names = {"projects": KPI_COLUMNS[:6], "invoices": KPI_COLUMNS[6:]}[table]
+
+    def derive(rows: DataFrame) -> DataFrame:
+        aggregates = dict(zip(KPI_COLUMNS, kpi_aggregates(), strict=True))
+        return rows.withColumn("_is_project", F.lit(table == "projects")).groupBy(F.col("_bucket").alias("id")).agg(*[aggregates[n] for n in names])
+
+    return derive
+
+
+def kpi_from_parts(projects: DataFrame, invoices: DataFrame) -> DataFrame:
+    """A1 from the per-bucket parts of both tables: a few numbers a bucket are summed, no row of the tables is read."""
+    parts = projects.unionByName(invoices, allowMissingColumns=True)
+    return parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in KPI_COLUMNS])
+
+
 KPI_COLUMNS = ("contracted_count", "contracted_total", "pipeline_count", "pipeline_total",
                "lost_count", "total_projects", "paid_amount", "unpaid_amount")
 
@@ -116,7 +133,7 @@ def staff_ranking(performance: DataFrame) -> DataFrame:
     """
     total = performance.agg(F.sum("revenue").alias("_total")).scalar()
     order = F.struct(F.col("revenue").isNull(), -F.col("revenue"), F.col("staff"))
-    return rank_by(performance.withColumn("_order", order), "_order", "rank").select(
+    return rank_by(performance.withColumn("_order", order), "_order", "rank", narrow=True).select(
         "rank",
         "staff", "total", "contracted", "revenue",
         F.try_divide(F.col("contracted").cast("double"), F.nullif(F.col("total"), F.lit(0)).cast("double"))

@@ -201,10 +201,9 @@ def unmatched_changes(spark, sf):
 
 
 def apply_creates(spark, sf):
-    cur = _projects(spark, sf)
-    v = C.validate_changes(cur, _changes(spark, sf, "create"), "projects")
-    hwm = C.high_water_mark(cur).scalar()
-    return C.apply_creates(v.where(F.col("verdict") == C.ACCEPTED), "projects", hwm).drop("_staff_seq")
+    creates = C.valid_changes(_changes(spark, sf, "create"), "projects")
+    hwm = C.high_water_mark(_projects(spark, sf)).scalar()
+    return C.apply_creates(creates, "projects", hwm).drop("_staff_seq")
 
 
 def _apply(op):

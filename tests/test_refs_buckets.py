@@ -1,5 +1,7 @@
 """Rows addressed by ref in the set that creates them, and stores that rewrite only touched buckets."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
@@ -131,8 +133,11 @@ def test_expire_keeps_what_newer_versions_name(spark):
         CF.apply_batch(store, feed(spark, ("projects", n, "assign_staff", 1, '{"staff":"s%d"}' % n, None)), n)
     expected = sorted(map(tuple, store.read("projects").collect()), key=lambda r: r[0])
     assert store.versions() == [1, 2, 3, 4]
-    removed = store.expire(keep=1)
-    assert removed == 3 and store.versions() == [4]                     # bucket 0 of versions 1 to 3; bucket 1 lives on
+    folders = lambda v: {p for p in store.manifest(v)["projects"]["buckets"].values()}
+    old, live = folders(1) | folders(2) | folders(3), folders(4)
+    assert len(old - live) == 3 and len(live) == 2                      # bucket 0 of versions 1 to 3; bucket 1 lives on
+    assert store.expire(keep=1) >= 3 and store.versions() == [4]
+    assert not any(os.path.exists(p) for p in old - live) and all(os.path.exists(p) for p in live)
     assert sorted(map(tuple, store.read("projects").collect()), key=lambda r: r[0]) == expected
     assert store.expire(keep=1) == 0
 
