@@ -152,6 +152,12 @@ def change_sql() -> dict[str, str]:
                                        V_CHANGES, _ch(None), CHECKED, VERDICTS)
     q["unmatched_changes"] = with_views("SELECT seq, op, id, reason FROM verdicts WHERE verdict = 'unmatched'",
                                         V_CHANGES, _ch(None), CHECKED, VERDICTS)
+    q["duplicate_changes"] = with_views("""
+SELECT seq, op, id, verdict, reason FROM verdicts
+UNION ALL SELECT seq, op, id, 'rejected', 'duplicate_seq' FROM verdicts WHERE seq % 4 = 0 OR (op = 'create' AND seq % 7 = 0)
+UNION ALL SELECT seq, 'delete', seq, 'rejected', 'duplicate_seq' FROM verdicts WHERE op = 'create' AND seq % 3 = 0""",
+                                        V_CHANGES, _ch(None), CHECKED, VERDICTS)
+    q["apply_duplicate_changes"] = apply_sql(None)
     q["apply_creates"] = with_views(f"""
 SELECT (SELECT COALESCE(max(id), 0) FROM projects_v) + row_number() OVER (ORDER BY seq) AS id,
   {normalised_sql('create')}
@@ -176,6 +182,26 @@ SELECT p.*, i.* FROM
    CAST(COALESCE(SUM(CASE WHEN payment_status = {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS paid_amount,
    CAST(COALESCE(SUM(CASE WHEN payment_status <> {PAID} THEN amount ELSE 0 END), 0) AS BIGINT) AS unpaid_amount
   FROM invoices_v) i""", *apply_ctes(None), f"applied AS ({applied_body(None)})")
+    q["stream_kpis_incremental"] = q["stream_kpis"]
+    q["ledger_load_breaks"] = with_views(f"""
+SELECT {', '.join(f if f != 'note' else "CASE WHEN id % 100 = 0 THEN 'first \"line\"' || chr(10) || name END AS note" for f in FIELDS)}
+FROM projects_v""")
+    files = []
+    for table in ("projects", "employees", "customers"):
+        names = [f.name for f in S.payload_schema(table).fields]
+        cells = " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '')" for c in names)
+        bars = "|" * (len(names) - 1)
+        head = [f"{table} ledger{bars}", bars, f"exported{bars}", "|".join(names)]
+        files.append(f"""
+SELECT '{table}/' || b AS file, 4 + COUNT(*) OVER (PARTITION BY b) AS row_count,
+  4 + row_number() OVER (PARTITION BY b ORDER BY id) AS rn, {cells} AS cells
+FROM (SELECT *, id % (SELECT GREATEST(3, CAST(CEIL(COUNT(*) / 50000) AS BIGINT)) FROM {table}_v) AS b FROM {table}_v) t
+QUALIFY rn <= 6
+UNION ALL
+SELECT '{table}/' || b, 4 + n, p.rn, p.cells
+FROM (SELECT id % (SELECT GREATEST(3, CAST(CEIL(COUNT(*) / 50000) AS BIGINT)) FROM {table}_v) AS b, COUNT(*) AS n FROM {table}_v GROUP BY 1) t,
+  (VALUES {", ".join(f"({i}, {_q(x)})" for i, x in enumerate(head, 1))}) p(rn, cells)""")
+    q["file_profile"] = with_views(" UNION ALL ".join(files))
     q["ledger_load"] = with_views(f"SELECT {', '.join(FIELDS)} FROM projects_v")
     q["ledger_rejects"] = with_views("SELECT name, 'estimate_amount' AS reason FROM projects_v WHERE id % 11 = 0")
     q["stream_rejects"] = with_views(

@@ -200,6 +200,25 @@ def unmatched_changes(spark, sf):
     return v.where(F.col("verdict") == C.UNMATCHED).select("seq", "op", "id", "reason")
 
 
+def _delivered_again(spark, sf):
+    """The change set with every fourth request and every seventh create sent twice, and every third create's seq used for a delete as well."""
+    ch = _changes(spark, sf)
+    other = ch.where((F.col("op") == "create") & (F.col("seq") % 3 == 0)).select(
+        "seq", F.lit("delete").alias("op"), F.col("seq").alias("id"), F.lit(None).cast(ch.schema["payload"].dataType).alias("payload"))
+    again = (F.col("seq") % 4 == 0) | ((F.col("op") == "create") & (F.col("seq") % 7 == 0))
+    return ch.unionByName(ch.where(again)).unionByName(other)
+
+
+def duplicate_changes(spark, sf):
+    """M6: the verdicts where requests are delivered again."""
+    return C.validate_changes(_projects(spark, sf), _delivered_again(spark, sf), "projects").drop("payload")
+
+
+def apply_duplicate_changes(spark, sf):
+    """M1-M4: what is delivered again changes nothing."""
+    return C.apply_change_set(_projects(spark, sf), _delivered_again(spark, sf), "projects")[0]
+
+
 def apply_creates(spark, sf):
     creates = C.valid_changes(_changes(spark, sf, "create"), "projects")
     hwm = C.high_water_mark(_projects(spark, sf)).scalar()
@@ -287,6 +306,29 @@ def ledger_rejects(spark, sf):
     return L.load_ledger(spark, path, "projects", assign_ids=False)[1].select("name", "reason")
 
 
+BREAK_FILES = 20
+
+
+def ledger_load_breaks(spark, sf):
+    """S1 where one file in twenty has cells with line breaks (only that one is read in one task)."""
+    path = scratch_path(spark, "ledger-breaks")
+    projects = _projects(spark, sf)
+    broken = projects.withColumn("note", F.when(F.col("id") % (BREAK_FILES * 5) == 0, F.concat(F.lit('first "line"\n'), "name")))
+    L.export_ledger(broken, "projects", path, _files(projects, BREAK_FILES), "projects ledger", spread=F.col("id") % BREAK_FILES)
+    return L.load_ledger(spark, path, "projects", assign_ids=False)[0]
+
+
+def file_profile(spark, sf):
+    """Number of rows and first six rows of each export file of three tables."""
+    parts = []
+    for table, rows in (("projects", _projects(spark, sf)), ("employees", B.employees(spark, sf)), ("customers", B.customers(spark, sf))):
+        path = scratch_path(spark, f"profile-{table}")
+        L.export_ledger(rows, table, path, _files(rows, 3), f"{table} ledger", spread=F.col("id"))
+        file = F.concat(F.lit(f"{table}/"), F.regexp_extract("file", "_bucket=([0-9]+)", 1))
+        parts.append(L.file_profile(spark, path, table).withColumn("file", file))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def source_profile(spark, sf):
     return L.source_profile({
         "projects": (_projects(spark, sf), "id", "name"),
@@ -299,10 +341,9 @@ def source_profile(spark, sf):
 # --- streaming ----------------------------------------------------------------------
 def _streamed(spark, sf):
     """The project change set streamed in three files or more through a fresh store."""
-    from ledgerlake.sources.store import TableStore
     from ledgerlake.streaming import change_feed as CF
     root = scratch_path(spark, "stream")
-    store = TableStore(spark, root + "/store")
+    store = CF.feed_store(spark, root + "/store")
     projects = _projects(spark, sf)
     store.publish({"projects": projects, "invoices": B.invoices(spark, sf)})
     feed = root + "/feed"
@@ -318,6 +359,12 @@ def stream_kpis(spark, sf):
     return CF.published_kpis(_streamed(spark, sf))
 
 
+def stream_kpis_incremental(spark, sf):
+    """The same row from the partial KPIs that each publish kept for the buckets it touched."""
+    from ledgerlake.streaming import change_feed as CF
+    return CF.incremental_kpis(_streamed(spark, sf))
+
+
 def stream_rejects(spark, sf):
     """The changes that the stream did not apply, as published."""
     from ledgerlake.streaming import change_feed as CF
@@ -367,11 +414,13 @@ def all_queries() -> dict[str, Query]:
         "garbled_rows": garbled_rows,
         "validate_changes": validate_changes,
         "unmatched_changes": unmatched_changes,
+        "duplicate_changes": duplicate_changes,
         "apply_creates": apply_creates,
         "apply_updates": apply_updates,
         "apply_deletes": apply_deletes,
         "assign_staff": assign_staff,
         "apply_change_set": apply_change_set,
+        "apply_duplicate_changes": apply_duplicate_changes,
         "cascade_null": cascade_null,
         "apply_employee_changes": apply_employee_changes,
         "apply_customer_changes": apply_customer_changes,
@@ -380,7 +429,10 @@ def all_queries() -> dict[str, Query]:
         # ledgers and the stream
         "ledger_load": ledger_load,
         "ledger_rejects": ledger_rejects,
+        "ledger_load_breaks": ledger_load_breaks,
         "source_profile": source_profile,
+        "file_profile": file_profile,
         "stream_kpis": stream_kpis,
+        "stream_kpis_incremental": stream_kpis_incremental,
         "stream_rejects": stream_rejects,
     }

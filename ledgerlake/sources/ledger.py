@@ -13,13 +13,15 @@ id in that split. The CSV reader skips blank lines, so the blank ones among a
 file's first four lines are counted from the text and taken off.
 
 A line break inside a quoted cell needs the reader's ``multiLine`` mode, in
-which a file is one task; it is used only for exports that have such cells.
-Rows with another number of cells than the table has columns are rejects.
+which a file is one task. Files are routed one by one: those with a line that
+leaves a quote open go there, all others stay splittable, and the two results
+are united. Rows with another number of cells than the table has columns are
+rejects.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,19 +55,50 @@ def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
     position, ``_ragged`` marks a row with a wrong number of cells.
     """
     text = spark.read.option("recursiveFileLookup", "true").text(path)
-    open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
-    multi_line = not text.where(open_quote).isEmpty()
     blank = (_position(text).where((F.col("_line") < PREAMBLE_ROWS) & (F.trim(F.translate("value", "\r\t", "  ")) == ""))
              .groupBy(F.col("_file").alias("_f1")).agg(F.count(F.lit(1)).alias("_blank")))
     schema = T.StructType([*_positional_schema(table).fields, T.StructField("_ragged", T.StringType())])
-    raw = _position(spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
-                    .option("columnNameOfCorruptRecord", "_ragged").option("multiLine", str(multi_line).lower())
-                    .option("escape", '"').option("recursiveFileLookup", "true").csv(path))
+    broken = files_with_breaks(text)
+
+    def read(multi_line: bool) -> DataFrame:
+        rows = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_ragged").option("multiLine", str(multi_line).lower())
+                .option("escape", '"').option("recursiveFileLookup", "true").csv(path))
+        # a condition on the file's path prunes the listing: the other files are not opened
+        here = F.col("_metadata.file_path").isin(broken)
+        return _position(rows.where(here if multi_line else ~here) if broken else rows)
+
+    raw = read(False).unionByName(read(True)) if broken else read(False)
     return (raw.join(blank, F.col("_file") == F.col("_f1"), "left")
             .withColumn("_skip", PREAMBLE_ROWS - F.coalesce("_blank", F.lit(0)))
             .withColumn("_order", F.struct("_file", "_block", "_mono")).drop("_f1", "_blank"))
 
 
+def files_with_breaks(text: DataFrame) -> list[str]:
+    """The files (a ``text`` read) with a cell that goes on after a line break: some line leaves a quote open.
+
+    Names of files only, as the driver's own file listing holds them.
+    """
+    open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
+    return sorted(r[0] for r in text.where(open_quote).select("_metadata.file_path").distinct().collect())
+
+
+def file_profile(spark: SparkSession, path: str, table: str, n: int = 6) -> DataFrame:
+    """S4 over raw exports: per file its rows' number and the first ``n`` rows, preamble included, in all cells.
+
+    Columns file, row_count, rn (from 1), cells (one text a row, cells parted by
+    ``|``, empty cells empty). A row's place comes from its position in the
+    file's first split, so nothing is sorted; a first split with fewer than
+    ``n`` rows shows those. Blank lines are no rows.
+    """
+    lines = read_ledger_lines(spark, path, table)
+    counts = lines.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
+    cells = [F.coalesce(F.col(f.name), F.lit("")) for f in _positional_schema(table).fields]
+    head = lines.where(F.col("_line") < n).select(
+        F.col("_file").alias("file"), (F.col("_line") + 1).alias("rn"), F.concat_ws("|", *cells).alias("cells"))
+    return head.join(counts, "file").select("file", "row_count", "rn", "cells")
+
+
 def load_ledger(spark: SparkSession, path: str, table: str, assign_ids: bool = True,
                 id_offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)`` of one table's export files.
@@ -107,24 +140,25 @@ def load_ledger(spark: SparkSession, path: str, table: str, assign_ids: bool = T
     return rows, rejects
 
 
-def export_ledger(df: DataFrame, table: str, path: str, files: int, title: str, order_by: str = "id") -> None:
+def export_ledger(df: DataFrame, table: str, path: str, files: int, title: str, order_by: str = "id",
+                  spread: Column | None = None) -> None:
     """Write ``df`` as ledger CSV files (preamble + positional records), ``files`` files in parallel.
 
-    Rows are spread over ``files`` buckets by ``order_by``; each bucket is one
-    task and one file (``partitionBy`` on the bucket) holding its four
+    Rows are spread over ``files`` buckets by ``spread`` (default: a hash of
+    ``order_by``), modulo ``files``; each bucket is one task and one file (``partitionBy`` on the bucket) holding its four
     preamble lines and its rows in ``order_by`` order. Lines are made with
     ``to_csv`` so quoting follows the CSV reader.
     """
     fields = [f.name for f in S.payload_schema(table).fields]
     n = len(fields)
     records = df.select(
-        F.pmod(F.xxhash64(F.col(order_by)), F.lit(files)).alias("_bucket"),
+        F.pmod(F.xxhash64(F.col(order_by)) if spread is None else spread, F.lit(files)).cast("bigint").alias("_bucket"),
         F.lit(1).alias("_kind"), F.col(order_by).cast("bigint").alias("_ord"),
         F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"escape": '"'}).alias("value"))
     spark = df.sparkSession
     pre_lines = [title, "," * (n - 1), "exported," + "," * (n - 2), ",".join(fields)]
     pre = spark.range(files).select(
-        F.col("id").cast("int").alias("_bucket"), F.lit(0).alias("_kind"),
+        F.col("id").alias("_bucket"), F.lit(0).alias("_kind"),
         F.posexplode(F.array(*[F.lit(x) for x in pre_lines])).alias("_ord", "value"))
     pre = pre.select("_bucket", "_kind", F.col("_ord").cast("bigint"), "value")
     (records.unionByName(pre).repartition(files, "_bucket")

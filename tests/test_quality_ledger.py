@@ -1,5 +1,7 @@
 import tempfile
 
+from pyspark.sql import functions as F
+
 from ledgerlake.operators import metrics as M
 from ledgerlake.operators import quality as Q
 from ledgerlake.session import scratch_path
@@ -136,3 +138,33 @@ def test_import_once_guard_is_per_table(spark):
     assert L.import_ledgers(spark, store, {"employees": pe, "customers": pc}) == {"customers": 3}
     assert store.hwm("employees") == 5 and store.read("employees").count() == 5
     assert L.import_ledgers(spark, store, {"employees": pe, "customers": pc}) == {}
+
+
+def test_only_files_with_breaks_lose_their_splits(spark):
+    path = scratch_path(spark, "routing")
+    rows = make(spark, "projects", [dict(id=i, name=f"p{i}", customer_name="c" * 40, note="a\nb" if i % 50 == 3 else 'say "x"') for i in range(400)])
+    L.export_ledger(rows, "projects", path, 5, "t", spread=F.col("id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = L.read_ledger_lines(spark, path, "projects")
+        blocks = {r[0].split("_bucket=")[1][0]: r[1] for r in lines.groupBy("_file").agg(F.countDistinct("_block")).collect()}
+        assert blocks.pop("3") == 1 and len(blocks) == 4 and min(blocks.values()) > 1
+        loaded, rejects = L.load_ledger(spark, path, "projects")
+        got = {r.name: r for r in loaded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rejects.count() == 0 and sorted(r.id for r in got.values()) == list(range(1, 401))
+    assert {n: got[f"p{n}"].note for n in (3, 4, 53)} == {3: "a\nb", 4: 'say "x"', 53: "a\nb"}
+    # ids follow the files, and the lines within one
+    by_file = [sorted((got[f"p{i}"].id, i) for i in range(f, 400, 5)) for f in range(5)]
+    assert all([i for _, i in part] == sorted(i for _, i in part) and part[-1][0] - part[0][0] == 79 for part in by_file)
+
+
+def test_file_profile(spark):
+    path = scratch_path(spark, "profile")
+    rows = make(spark, "customers", [dict(id=i, name=f"n{i}", age_years=i, note="x\ny" if i == 2 else None) for i in range(10)])
+    L.export_ledger(rows, "customers", path, 2, "ledger", spread=F.col("id"))
+    got = {(r.file.split("_bucket=")[1][0], r.rn): (r.row_count, r.cells) for r in L.file_profile(spark, path, "customers").collect()}
+    assert set(got) == {(f, n) for f in "01" for n in range(1, 7)} and {c for c, _ in got.values()} == {9}
+    assert got["0", 1][1] == "ledger||||||||" and got["0", 4][1].startswith("name|address|")
+    assert got["1", 5][1] == "n1|||1|||||" and got["0", 6][1] == "n2|||2|||||x\ny"
