@@ -10,14 +10,20 @@ line breaks, which is the writer's line separator.
 Reading. Files are parsed by Content-Length; the digest of each payload is
 taken again and must agree with the record's.
 
+An archive holds FILE_BYTES of payload on average (``binaryFile`` reads one as
+a cell), so a task's memory does not grow with the pages' number.
+
 Index. Every archive gives a locally sorted run of captures. The runs are
-dealt by range of (URL key, timestamp, page_id), and in each range a loser tree
-merges them k ways. Ranges are in order, so (range_id, position) orders all
-captures; a URL with a large part of all captures spans several ranges.
+dealt by range of (URL key, timestamp, page_id, file, offset), RANGE_ROWS
+captures a range, and in each range a loser tree merges them k ways. Ranges are
+in order, so (range_id, position) orders all captures; a URL with a large part
+of all captures, or one row repeated often, spans several ranges.
 
 Defined cases: a null html is an empty payload; a null url has an empty key; a
 null page_id is always a response; rows with one page_id and one payload are
-all responses; line breaks in a url are percent-encoded.
+all responses; line breaks in a url are percent-encoded; a very long payload
+has an archive of its own size; an empty table gives no captures; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.tables import columns, written
+from ledgerlake.llm.tables import columns, salted_left_join, written
 from ledgerlake.session import scratch_path
 
 LEAST = 1000
-RECORDS_PER_FILE = 20_000
+FILE_BYTES = 64 << 20  # of payload in an archive, on average
+RANGE_ROWS = 20_000  # captures that one task merges
 EPOCH = 1_700_000_000  # captures without a time are one second apart, by page_id
 _END = "\r\n"
 _CAPTURE = ("url_key string, captured_at string, page_id long, url string, record_type string, payload_bytes long, "
@@ -54,7 +61,8 @@ def _classified(pages: DataFrame, least: int) -> DataFrame:
     kept = (light.where("page_id is not null").groupBy(*key).agg(
         F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("k"), F.min("page_id").alias("lo"))
         .where("k.page_id <> lo"))
-    again = (light.join(kept, key).where(F.col("page_id") < F.col("k.page_id"))
+    # a payload that many pages share is dealt over several tasks
+    again = (salted_left_join(light, kept, key, F.col("page_id")).where(F.col("page_id") < F.col("k.page_id"))
              .select("page_id", "digest", F.col("k.page_id").alias("refers_to"), F.col("k.url").alias("refers_url")).distinct())
     return p.join(again, ["page_id", "digest"], "left")
 
@@ -91,8 +99,9 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST
                ).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
         http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     (p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("maxRecordsPerFile", max(1, int(FILE_BYTES // (mean + 512)))).text(path))
     return path
 
 
@@ -284,11 +293,11 @@ def capture_histories(captures: DataFrame, ranges: int | None = None) -> DataFra
     """The captures in global order: range_id and position sort them by URL key, time and page_id."""
     spark = captures.sparkSession
     runs = written(captures.drop("payload"), "warc-runs")  # read twice: range bounds, then the merge
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(1, -(-runs.count() // RANGE_ROWS))
     schema = runs.schema
     types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.string() for f in schema]
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", range_id int, position long"
-    return (runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id")
+    return (runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "file", "record_offset")
             .sortWithinPartitions("file", "url_key", "captured_at", "page_id", "record_offset")
             .mapInArrow(_merge([f.name for f in schema], types), kind))
 

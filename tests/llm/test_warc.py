@@ -54,6 +54,20 @@ def test_histories_are_globally_ordered(spark):
     assert [key(r) for r in merged] == sorted(map(key, got)) and len(got) == len(rows())
 
 
+def test_archives_and_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 25)
+    page = [(i, "http://one.example/" if i % 3 else f"http://h{i}/", "t" * 4000 + str(i)) for i in range(300)]
+    df = spark.createDataFrame(page + [page[7]] * 100, "page_id long, url string, html string").repartition(3)
+    path = warc.write_archives(df)
+    assert len(list(Path(path).glob("*.gz"))) >= 400 * 4000 // 200_000
+    got = warc.capture_histories(warc.read_archives(spark, path, with_payload=False)).collect()
+    assert len(got) == 400 and len({r.range_id for r in got}) >= 12 and max(Counter(r.range_id for r in got).values()) <= 75
+    merged = sorted(got, key=lambda r: (r.range_id, r.position))
+    key = lambda r: (r.url_key, r.captured_at, r.page_id)
+    assert [key(r) for r in merged] == sorted(map(key, got))
+
+
 def test_loser_tree():
     rnd = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
