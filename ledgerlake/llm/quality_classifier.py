@@ -8,12 +8,16 @@ labelled rows outside the dictionaries turns both into a probability.
 
 Learning uses a bounded sample of labelled rows: ``DICTIONARY_ROWS`` and
 ``FIT_ROWS`` a class, in the order of a hash of doc_id, with at most
-``SAMPLE_BYTES`` of text a class for the dictionaries. Scores take the whole
-text and nothing but the text.
+``SAMPLE_BYTES`` of text a class for the dictionaries; a text longer than its
+share of them gives ``RUNS`` runs spread evenly from its start to its end.
+Scores take the whole text and nothing but the text.
 
 Defined cases: a null or empty text is scored as an empty one; without
 labelled rows of both classes every score is 0.5; repeated labels of one
-document count once (the larger one).
+document count once (the larger one); of different texts under one doc_id the
+smallest is learnt from, and each is scored; a very long text is compressed run
+by run; an empty table gives an empty table; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ FIT_ROWS = 1000
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 256 << 10
 RUN = 4 << 10
+RUNS = 4  # of a long text in the dictionaries
 LEVEL = 3
 
 
@@ -74,6 +79,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _spread_runs(text, limit: int):
+    """The text, or if it is longer than ``limit`` characters RUNS runs of it, evenly spread, a line break between them."""
+    size, spare = limit // RUNS, F.length(text) - limit // RUNS
+    runs = [text.substr(F.floor(spare * i / (RUNS - 1)).cast("int") + 1, F.lit(size)) for i in range(RUNS)]
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat_ws("\n", *runs))
+
+
 def _dictionary(texts: list[str], size: int) -> bytes:
     """An equal share of each sampled text, spread over it in runs, up to ``size`` bytes."""
     if not texts:
@@ -118,9 +130,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(b"", b"", ())
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, quality int, in_dictionary boolean"))
     rows = (columns(docs, ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
-            .join(chosen, "doc_id").dropDuplicates(["doc_id"]))
-    limit = SAMPLE_BYTES // DICTIONARY_ROWS
-    texts = (rows.where("in_dictionary").select("doc_id", "quality", F.substring("text", 1, limit).alias("text"))
+            .join(chosen, "doc_id").groupBy("doc_id", "quality", "in_dictionary").agg(F.min("text").alias("text")))
+    texts = (rows.where("in_dictionary").select("doc_id", "quality", _spread_runs(F.col("text"), SAMPLE_BYTES // DICTIONARY_ROWS).alias("text"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").collect())
     # a line that several sampled texts share tells nothing of either class
     shared = Counter(line for r in texts for line in set(r.text.split("\n")))
