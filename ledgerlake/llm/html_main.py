@@ -15,7 +15,9 @@ Equal pages of one host count as one page, so copies make no template.
 
 Defined cases: a null or empty html has an empty text; a null url is a host of
 its own; a page without article or main uses its whole body; repeated rows are
-extracted each.
+extracted each; a very long or deeply nested page costs time in proportion to
+its length; an empty table gives an empty table; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -56,15 +58,19 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
                     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_CUT_OFF = re.compile(r"<[A-Za-z/!?]")
+_RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _NAMES = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "drop", "children", "hash")
+    # below: does the subtree hold an h1 or h2, an article that is not dropped
+    __slots__ = ("tag", "names", "drop", "children", "hash", "heading_below", "article_below")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children, self.hash = tag, [], 0
+        self.heading_below = self.article_below = False
         self.names, self.drop = "", tag in DROPPED
         if attributes.strip():
             found = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
@@ -79,43 +85,79 @@ class Node:
                 self.drop = bool(set(_NAMES.findall(self.names)) & {"comment", "comments", "reply", "replies"})
 
 
+class _Open:
+    """The open elements, with the places of each tag, so that no end tag searches the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """End the element at ``place`` and all inside it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of ``tags``, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: tuple, limit: frozenset) -> None:
+        """End the innermost open element of ``tags``, unless one of ``limit`` stands between."""
+        place = self.last(tags)
+        if place and place >= self.last(limit):
+            self.cut(place)
+
+    def end(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place and (tag in BLOCK or place > self.blocks[-1]):  # an inline end tag does not close blocks
+            self.cut(place)
+
+
 def parse(html: str) -> Node:
     """A lenient tree: open elements end with their parent, stray end tags are ignored, a cut-off tag is dropped."""
     root = Node("#root")
-    stack = [root]
+    stack = _Open(root)
     at, size = 0, len(html)
+    last_mark = html.rfind(">")
     while at < size:
+        if at > last_mark:  # no tag ends any more: text up to a cut-off one
+            cut = _CUT_OFF.search(html, at)
+            _text(stack.nodes[-1], html[at:] if cut is None else html[at:cut.start()])
+            break
         m = _TOKEN.search(html, at)
         if m is None:
-            _text(stack[-1], html[at:])
+            _text(stack.nodes[-1], html[at:])
             break
         if m.start() > at:
-            _text(stack[-1], html[at:m.start()])
+            _text(stack.nodes[-1], html[at:m.start()])
         at = m.end()
         close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None or not m[0].endswith(">"):
             continue
         tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag does not close blocks
+            stack.end(tag)
             continue
         if tag in CLOSES_P:
-            _close(stack, ("p",), CLOSES_P - {"p"})
+            stack.close(("p",), CLOSES_P - {"p"})
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
+            stack.close(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             at = size if end is None else end.start()
             at = (html.find(">", at) + 1 or size) if end is not None else at
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -124,18 +166,8 @@ def _text(node: Node, text: str) -> None:
         node.children.append(text)
 
 
-def _close(stack: list[Node], tags: tuple, limit: frozenset) -> None:
-    """End the innermost open element of ``tags``, unless one of ``limit`` stands between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in limit:
-            return
-
-
 def hash_tree(root: Node) -> None:
-    """Set the hash of every element; iterative, so depth is no limit."""
+    """Set the hash of every element and what it holds; iterative, so depth is no limit."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -146,6 +178,8 @@ def hash_tree(root: Node) -> None:
         for c in n.children:
             if isinstance(c, Node):
                 h.update(c.hash.to_bytes(8, "little", signed=True))
+                n.heading_below |= c.heading_below or c.tag in ("h1", "h2")
+                n.article_below |= c.article_below or (c.tag == "article" and not c.drop)
             elif c.strip():
                 h.update(" ".join(c.split()).encode("utf-8", "replace") + b"\1")
         n.hash = int.from_bytes(h.digest(), "little", signed=True)
@@ -199,7 +233,7 @@ def blocks(start: Node, template: frozenset | set) -> list[str]:
             parts.append(x)
         elif x.tag in ("br", "wbr"):
             parts.append(" " if x.tag == "br" else "")
-        elif x is not start and (x.drop or x.hash in template or (x.tag == "header" and not _has_heading(x))):
+        elif x is not start and (x.drop or x.hash in template or (x.tag == "header" and not x.heading_below)):
             if x.tag in BLOCK:
                 flush()
         else:
@@ -214,10 +248,6 @@ def blocks(start: Node, template: frozenset | set) -> list[str]:
     return out
 
 
-def _has_heading(header: Node) -> bool:
-    return any(n.tag in ("h1", "h2") for n in _walk(header))
-
-
 def main_text(root: Node, template: frozenset | set) -> str:
     """The article's blocks joined by an empty line; of several articles all, of none the body."""
     starts, todo, fallback = [], [root], []
@@ -225,7 +255,7 @@ def main_text(root: Node, template: frozenset | set) -> str:
         n = todo.pop()
         if n is not root and (n.drop or n.hash in template):
             continue
-        if n.tag == "article" or n.tag == "main" and not any(x.tag == "article" and not x.drop for x in _walk(n)):
+        if n.tag == "article" or n.tag == "main" and not n.article_below:
             starts.append(n)
             continue
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]

@@ -1,5 +1,7 @@
 """Main text of pages whose text is known."""
 
+import random
+
 from ledgerlake.llm import html_main as H
 
 
@@ -50,3 +52,38 @@ def test_edges(spark):
     got = run(spark, rows)
     assert got == {1: "", 2: "", 3: "plain text é < 5", 4: "one\n\ntwo\n\nthree", None: "n", 6: "deep", 7: "quoted", 8: "w"}
     assert run(spark, [page(1, "")][:0]) == {}
+
+
+def test_time_grows_with_the_length():
+    import time
+    for html in ("<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 100_000, "<header>" * 30_000 + "<h1>x",
+                 "<main>" * 30_000 + "<article>x", "<a \"" * 50_000 + "x", "<p><b>" * 50_000 + "x", "<" * 100_000, "<!" * 50_000):
+        began = time.perf_counter()
+        H.main_text(H._parsed(html), frozenset())
+        assert time.perf_counter() - began < 5, html[:20]
+
+
+def site(pages, seed):
+    """Pages of nested div elements without any telling tag or name: a shared frame around own paragraphs, and the texts."""
+    rnd = random.Random(seed)
+    words = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(5000)) for _ in range(n))
+    top = f"<div><div>{words(3)}</div><div><ul><li>{words(1)}<li>{words(2)}</ul></div></div>"
+    side, bottom = f"<div><p>{words(5)}</p><div>{words(9)}</div></div>", f"<div>{words(8)}<br>{words(2)}</div>"
+    rows, texts = [], {}
+    for i in range(pages):
+        own = [words(rnd.randrange(4, 30)) for _ in range(rnd.randrange(1, 6))]
+        rare = f"<div>{words(4)}</div>" if rnd.random() < .5 else ""
+        body = "".join(f"<p>{p}</p>" for p in own)
+        rows.append((i, f"http://s{seed}.example/{i}", f"<html><body>{top}<div>{rare}<div>{body}</div>{side}</div>{bottom}</body></html>", 1))
+        texts[i] = "\n\n".join([*([rare[5:-6]] if rare else []), *own])
+    return rows, texts
+
+
+def test_template_removal_finds_what_pages_share(spark, monkeypatch):
+    """Brute force: without article tags and names, main text is what a page does not share with its site."""
+    rows, texts = site(25, 4)
+    assert run(spark, rows) == texts
+    monkeypatch.setattr(H, "MIN_SHARE", 2.0)
+    monkeypatch.setattr(H, "ARTICLE_SHARE", 2.0)
+    without = run(spark, rows)
+    assert all(without[i] != texts[i] for i in texts)
