@@ -1,16 +1,19 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Each line is judged on its own: navigation (separator-ridden menus), symbol
-noise, shouting, boilerplate phrases, and missing punctuation. Failing lines
-are removed. A document that loses more than ``MAX_LOST`` per cent of its
+noise, shouting, boilerplate phrases, and missing punctuation (of any script;
+scripts that use none are exempt). Failing lines are removed. A document that loses more than ``MAX_LOST`` per cent of its
 characters is rejected, and so is one that fails the base rules: fewer than 50
 words, or more than half of its words in repeated 3-word windows.
 
 Repeated windows are found per row: the 64-bit hashes of the windows are
 sorted in an array and equal neighbours kept, so nothing is shuffled.
 
-Defined cases: a null text has no words, no lines and fails the base rules;
-lines without a word are kept and lose nothing.
+Defined cases: a null or empty text has no words and fails the base rules;
+lines without a word are kept and lose nothing; every row is judged alone, so
+repeated rows get equal verdicts and a very long text costs its own length (its
+sorted windows); an empty table gives an empty table; columns with the names of
+the results are replaced (see ``line_first``).
 """
 
 from __future__ import annotations
@@ -29,11 +32,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]"
-STOPS = r"[.!?,;:…。]"
+# A line of prose holds a mark: any punctuation (Unicode Po, so every script's own) but these, which menus and code use too.
+NO_STOPS = "\"#%&'*/@\\§¶·"
+# Scripts that write sentences without marks: Thai, Lao, Tibetan, Myanmar, Khmer.
+UNMARKED = "[\u0e00-\u109f\u1780-\u17ff]"
+# Fixed phrases of page furniture, in the corpus' four languages.
 BOILERPLATE = ("all rights reserved", "back to top", "click here to", "cookie policy", "enable javascript", "lorem ipsum",
                "privacy policy", "sign up for our", "skip to content", "skip to main content", "subscribe to our",
-               "terms of service", "terms of use", "use of cookies", "uses cookies", "we use cookies")
-MAX_BARE = 12  # words a line without any punctuation may have
+               "terms of service", "terms of use", "use of cookies", "uses cookies", "we use cookies",
+               "abonnez-vous à notre", "aller au contenu", "conditions d'utilisation", "nous utilisons des cookies",
+               "politique de confidentialité", "tous droits réservés",
+               "alle rechte vorbehalten", "wir verwenden cookies", "zum inhalt springen", "zurück nach oben",
+               "política de privacidad", "saltar al contenido", "todos los derechos reservados", "utilizamos cookies")
+MAX_BARE = 12  # words a line without a mark may have
 
 
 def _says_boilerplate(text: Column) -> Column:
@@ -53,7 +64,8 @@ def _line_fails(f: Column, boilerplate: Column) -> Column:
     navigation = (f["separators"] >= 2) & (f["separators"] * 4 >= n)
     noise = f["symbols"] * 10 > F.length(line)
     shouting = (n >= MIN_SHOUTED) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
-    bare = (n > MAX_BARE) & ~line.rlike(STOPS)
+    marked = F.translate(line, NO_STOPS, "").rlike(r"\p{Po}") | line.rlike(UNMARKED)
+    bare = (n > MAX_BARE) & ~marked
     phrase = F.when(boilerplate, _says_boilerplate(line)).otherwise(F.lit(False))
     return (n > 0) & (navigation | noise | shouting | bare | phrase)
 
@@ -115,7 +127,8 @@ def sql(table: str = "documents") -> str:
     """The same counts and verdicts as DuckDB SQL."""
     spaces = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
     count = lambda x, pattern: f"len(regexp_extract_all({x}, '{pattern}'))"
-    phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    phrases = " OR ".join(f"contains(lower(line), {quoted(x)})" for x in BOILERPLATE)
     bare = f"length(translate(t, {spaces}, ''))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
@@ -128,7 +141,8 @@ lines AS (SELECT rid, unnest(ls) AS line FROM w),
 f AS (SELECT rid, line, {count('line', WORD)} AS nw, {count('line', SEPARATORS)} AS ns, {count('line', SYMBOLS)} AS ny FROM lines),
 j AS (SELECT rid, line, nw, nw > 0 AND ((ns >= 2 AND ns * 4 >= nw) OR ny * 10 > length(line) OR {phrases}
         OR (nw >= {MIN_SHOUTED} AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}'))
-        OR (nw > {MAX_BARE} AND NOT regexp_matches(line, '{STOPS}'))) AS bad FROM f),
+        OR (nw > {MAX_BARE} AND NOT regexp_matches(translate(line, {quoted(NO_STOPS)}, ''), '\\p{{Po}}')
+            AND NOT regexp_matches(line, '{UNMARKED}'))) AS bad FROM f),
 l AS (SELECT rid, sum(CASE WHEN bad THEN length(line) ELSE 0 END) AS lost,
       count(*) FILTER (nw > 0) - count(DISTINCT line) FILTER (nw > 0) AS dup FROM j GROUP BY rid),
 o AS (SELECT doc_id, len(w)::BIGINT AS n_words, {bare}::BIGINT AS word_chars, {count('t', SYMBOLS)}::BIGINT AS n_symbols,

@@ -22,8 +22,9 @@ def rows():
            "\n".join([line(40), " ".join(word().upper() for _ in range(60)) + "!!"]),
            "\n".join(["We use cookies. See our Privacy Policy.", line(70), line(70)]),
            " ".join(word() + "###" for _ in range(90)) + ".", line(60) * 2, "one two three " * 4 + line(80),
-           line(20, "") + "\n" + line(80), "\x0b" + line(55) + "\r\n　" + line(10) + "\u0085x", line(9000)]
-    return [(i % 16, t) for i, t in enumerate(out)] + [(None, out[0])]
+           line(20, "") + "\n" + line(80), line(20, " / » @x") + "\n" + line(80), line(60, "؟"), line(60, " ।"), line(20, " ไทย") + "\n" + line(60),
+           line(60, "！") + "\nTous droits réservés, conditions d'utilisation.", "\x0b" + line(55) + "\r\n　" + line(10) + "\u0085x", line(9000)]
+    return [(i % 21, t) for i, t in enumerate(out)] + [(None, out[0])]
 
 
 def counts(text):
@@ -59,6 +60,15 @@ def test_lines_are_removed_and_losers_rejected(spark):
     assert not data[12].kept and data[2].clean_text == ""
 
 
+def test_prose_of_every_script_is_kept(spark):
+    say = lambda words, mark: "\n".join(" ".join(f"{w}{i * 7 + k}" for k, w in enumerate(words * 3)) + mark for i in range(8))
+    texts = {"arabic": say(["كتاب", "مدينة", "طريق", "بيت", "شمس"], "؟"), "hindi": say(["किताब", "शहर", "रास्ता", "घर", "सूरज"], "।"),
+             "chinese": say(["书", "城市", "道路", "房子", "太阳"], "！"), "amharic": say(["ቤት", "ከተማ", "መንገድ", "ፀሐይ", "ውሃ"], "።"),
+             "thai": say(["บ้าน", "เมือง", "ถนน", "น้ำ", "ฟ้า"], ""), "none": say(["house", "city", "road", "water", "sky"], "")}
+    out = R.line_first(spark.createDataFrame(list(texts.items()), "lang string, text string")).collect()
+    assert {r.lang: (r.kept, r.n_removed_lines) for r in out} == {k: (k != "none", 8 * (k == "none")) for k in texts}
+
+
 def test_clashing_names(spark):
     names = ["n_words", "clean_text", "lost_chars", "_t", "_facts", "_w", "extra"]
     df = spark.createDataFrame([(i, t) for i, t in rows()], "doc_id long, text string")
