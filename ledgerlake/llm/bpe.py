@@ -12,8 +12,9 @@ and its leading space are encoded alike wherever they stand, and a bounded
 table keeps the frequent ones. What lies between goes through the split
 pattern itself, runs of other white space included.
 
-Defined cases: a null or empty text has no ids and decodes to an empty text;
-a text of any length is encoded whole.
+Defined cases: a null or empty text has no ids and decodes to an empty text; a
+text of any length is encoded whole; repeated rows are encoded each; an empty
+table gives an empty table; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

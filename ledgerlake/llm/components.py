@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.tables import salted_left_join, written
+from ledgerlake.llm.tables import drop_written, salted_left_join, written_at
 
 SALTS = 8
 
@@ -40,10 +40,13 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     and going over it is an error, never a partial result.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = written(edges.distinct(), name)  # the steps below read the links several times
+    spark = edges.sparkSession
+    edges, path = written_at(edges.distinct(), name)  # the steps below read the links several times
     mark = None
     for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), name)
+        before = path
+        edges, path = written_at(_small_star(_large_star(edges)), name)
+        drop_written(spark, before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == mark:
             break

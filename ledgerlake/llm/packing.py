@@ -10,12 +10,13 @@ together in 63 bits. Equal lengths are therefore consecutive, and a task that
 runs again gives the same ids.
 
 Defined cases: a null or empty text has the end id alone; rows that share a
-doc_id are packed each for itself.
+doc_id, repeated ones too, are packed each for itself; a very long text is
+encoded whole and cut into as many sequences as it needs; an empty table gives
+an empty table; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +34,14 @@ END_ID = 1
 _BUCKET, _PARTITION = 58, 34  # lowest bit of the bucket and of the partition in a sequence id
 _KIND = "doc_id long, start long, length long, tokens binary, doc_tokens long, bucket int, sequence_id long, offset long"
 
-LONG_RUN = 100_000  # characters without white space; such texts go to the tokenizers library
-
 
 class Encoder:
     """The ids the tokenizers library gives for a byte-level vocabulary file.
 
-    Its merges are in the order of the ids, so the tiktoken library gives the
-    same ids from the vocabulary as ranks, several times as fast.
+    Where a vocabulary's merges are in the order of its ids, the tiktoken
+    library gives the same ids from the vocabulary as ranks, several times as
+    fast and in linear time however long a run without white space is. Other
+    vocabularies are encoded by the tokenizers library; the text plays no part.
     """
 
     def __init__(self, path: str):
@@ -50,7 +51,6 @@ class Encoder:
         ranks = {s: i for i, s in enumerate(bpe.strings) if s and i not in bpe.added.values()}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT_SOURCE, mergeable_ranks=ranks, special_tokens=bpe.added)
         self.ordered = list(bpe.merges.values()) == sorted(bpe.merges.values(), key=lambda m: m[1])
-        self.long_run = re.compile(r"\S{%d}" % LONG_RUN)
         self._library = None
 
     def library(self):
@@ -64,7 +64,7 @@ class Encoder:
         return self._library
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.ordered or len(text) >= LONG_RUN and self.long_run.search(text):
+        if not self.ordered:
             return np.array(self.library().encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 

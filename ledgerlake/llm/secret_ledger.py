@@ -11,7 +11,9 @@ without findings and never leaves its task. Of the others one copy a blob is
 sent to the scan.
 
 Offsets are code points, the end is exclusive. Defined cases: a null content
-is an empty one; repeated rows are separate paths of one blob.
+is an empty one; repeated rows are separate paths of one blob; a very long
+content is scanned whole, once a blob; an empty table enters nothing; of columns
+with clashing names see ``findings``.
 """
 
 from __future__ import annotations

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.tables import columns, written
+from ledgerlake.llm.tables import columns, drop_written, written, written_at
 from ledgerlake.llm.words import LENGTH_FACTOR, MASK, U, mix
 
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
@@ -195,11 +195,14 @@ def near_pairs(vocabulary: DataFrame, symbols: int = SYMBOLS, passes: int = PASS
 
 def _roots(forms: DataFrame) -> DataFrame:
     """(word, root) of the words that have a form; each round doubles the length of the path behind ``root``."""
-    paths = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
+    spark = forms.sparkSession
+    paths, path = written_at(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = paths.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        step = written(paths.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"),
-                                                                F.col("_next").isNotNull().alias("_moved")), "spelling-roots")
+        before = path
+        step, path = written_at(paths.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"),
+                                                                         F.col("_next").isNotNull().alias("_moved")), "spelling-roots")
+        drop_written(spark, before)
         paths = step.select("word", "root")
         if step.where("_moved").isEmpty():
             return paths

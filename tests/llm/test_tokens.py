@@ -28,7 +28,8 @@ def random_texts(n):
 
 
 def frame(spark, texts):
-    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    rows = [(i, t, "x", "y", 5) for i, t in enumerate(texts)]  # columns that share names with results
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, tokens string, start int").repartition(3)
 
 
 def test_ids_and_round_trip(spark, library, monkeypatch):
@@ -82,9 +83,16 @@ def test_long_runs_and_unusual_text(library):
     odd = ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0x20, 0x500), rnd.randrange(0x2000, 0x3100), rnd.randrange(0x10000, 0x1F700)]))
                    for _ in range(200)) for _ in range(300)]
     assert fast.ordered
-    for t in [*TEXTS, *odd, *random_texts(500), "x" * 250_000, "!?" * 60_000 + " end"]:
+    for t in [*TEXTS, *odd, *random_texts(500), "x" * 250_000, "!?" * 60_000 + " end",
+              "".join(rnd.choice("abcdefghijé") for _ in range(150_000)), " " * 120_000 + "x", "1" * 110_000]:
         assert fast.ids(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "one text")] * 3 + [(1, "other"), (None, None)], "doc_id long, text string")
+    assert sorted(len(r.ids) for r in bpe.encode(df).collect()) == [0, 1, 2, 2, 2]
+    assert sum(r.length for r in packing.pack(df).collect()) == 3 * 3 + 2 + 1
+
+
 def test_empty_tables(spark):
     assert bpe.encode(frame(spark, []).limit(0)).collect() == [] and packing.pack(frame(spark, []).limit(0)).collect() == []
