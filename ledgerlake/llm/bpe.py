@@ -37,6 +37,8 @@ from ledgerlake.llm.words import slices
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 SPLIT_SOURCE = SPLIT.replace(r"[^\p{White_Space}]", r"\S").replace(r"\p{White_Space}", r"\s")
+# White space beside the space and the line break.
+OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 KEPT_PIECES = 300_000  # encoded pieces a worker keeps
 
 
@@ -125,7 +127,6 @@ class PieceTable:
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         # Python's white space holds all of Unicode's and four control characters: a space beside those is not cut at
-        self.ragged = re.compile(r"^ | $| \s|\s ")
         self.space = re.compile(r"(?<=\S) (?=\S)")
 
     def _look_up(self, pieces: list[str], table: dict[str, bytes], lead: str) -> list[bytes]:
@@ -141,7 +142,9 @@ class PieceTable:
             return [table.get(p) or extra[p] for p in pieces]
 
     def _segment(self, text: str) -> list[bytes]:
-        pieces = self.space.split(text) if self.ragged.search(text) else text.split(" ")
+        even = (text[:1] != " " != text[-1:] and "  " not in text and " \n" not in text and "\n " not in text
+                and not any(c in text for c in OTHER_SPACES))
+        pieces = text.split(" ") if even else self.space.split(text)
         return self._look_up(pieces[:1], self.first, "") + self._look_up(pieces[1:], self.spaced, " ")
 
     def ids(self, text: str) -> bytes:

@@ -12,7 +12,7 @@ SALTS = 8
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Each edge with its node's minimum; a hub's edges are dealt over SALTS tasks."""
-    return salted_left_join(edges, least, ["a"], F.col("b"), SALTS)
+    return salted_left_join(edges, least, ["a"], F.col("b"), SALTS, grows=True)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = salted_left_join(signed.where("n_shingles > 0").select("doc_id", "n_shingles", "s1", "s2"), of_class,
-                            ["s1", "s2", "n_shingles"], F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
+                            ["s1", "s2", "n_shingles"], F.col("doc_id"), grows=True).select("doc_id", "n_shingles", "component_id")
     empty = salted_left_join(signed.where("n_shingles = 0").select("doc_id", "n_shingles"),
                              found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")),
                              ["doc_id"], F.col("n_shingles"))

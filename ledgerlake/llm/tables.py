@@ -60,16 +60,19 @@ def drop_written(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def salted_left_join(big: DataFrame, unique: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
+def salted_left_join(big: DataFrame, unique: DataFrame, keys: list[str], spread: Column, salts: int = 16,
+                     grows: bool = False) -> DataFrame:
     """Left join of ``big`` with ``unique`` (one row a key) where one key may hold a large part of ``big``.
 
     ``big``'s rows are dealt over ``salts`` sub-keys by ``spread``; each row of
     the unique side is repeated once per sub-key, so a hot key is shared by
-    ``salts`` tasks and no row is multiplied.
+    ``salts`` tasks and no row is multiplied. ``grows``: the unique side grows
+    with the data and is never broadcast, whatever its size seems to be before
+    it is repeated.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge") if grows else right, [*keys, "_salt"], "left").drop("_salt")
 
 
 def columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
