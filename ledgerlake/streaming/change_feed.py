@@ -48,6 +48,7 @@ from pyspark.sql import types as T
 from ledgerlake import schemas as S
 from ledgerlake.operators import changes as C
 from ledgerlake.operators import metrics as M
+from ledgerlake.session import scratch_path
 from ledgerlake.sources.store import BUCKET, BUCKET_IDS, PublishConflict, Snapshot, TableStore, bucket_of, max_id
 
 FEED_SCHEMA = T.StructType([
@@ -250,20 +251,18 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
             snap = store.snapshot()
             if batch_id <= snap.last_batch(feed):
                 return None  # already published: a replay after restart
-            kept: list[DataFrame] = []
             try:
-                return _apply(store, snap, batch, batch_id, feed, kept)
+                return _apply(store, snap, batch, batch_id, feed)
             except PublishConflict:
                 if attempt == ATTEMPTS - 1:
                     raise
-            finally:
-                for frame in kept:
-                    frame.unpersist()
     finally:
         batch.unpersist()
 
 
-def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, feed: str, kept: list[DataFrame]) -> int:
+def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, feed: str) -> int:
+    spark = batch.sparkSession
+    scratch = scratch_path(spark, "batch")
     known = [t for t in APPLY_ORDER if t in snap]
     touched = _Touched(batch, snap, known)
     unknown = batch.where(~F.coalesce(F.col("table").isin(known), F.lit(False)))
@@ -275,9 +274,10 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
     accepted_seqs: list[DataFrame] = []
     new_buckets: dict[str, int] = {}
 
-    def keep(frame: DataFrame) -> DataFrame:
-        kept.append(frame.persist())
-        return frame
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        """What several of the batch's tables read is written once: their plans stay small, and survive a lost executor."""
+        frame.write.parquet(f"{scratch}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{scratch}/{name}")
 
     def state(name: str, rows: DataFrame, buckets: set[int], merge, bucket_ids: int) -> None:
         """Merge ``rows`` into a state table, of which only ``buckets`` are read and replaced."""
@@ -287,12 +287,12 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
         new_buckets[name] = bucket_ids
 
     for table in touched.tables:
-        split = keep(_split(snap, batch, table, feed, touched))
+        split = keep(_split(snap, batch, table, feed, touched), f"split-{table}")
         sets[table] = split.where("why is null").drop("why")
         refused.append(_refused(split.where("why is not null"), feed, batch_id, F.lit(table), F.lit(C.REJECTED), F.col("why")))
     surnames = None
     if "employees" in touched.tables:
-        surnames = keep(C.deleted_surnames(snap.read("employees", touched.of("employees", "id")), sets["employees"]))
+        surnames = keep(C.deleted_surnames(snap.read("employees", touched.of("employees", "id")), sets["employees"]), "surnames")
         if surnames.isEmpty():
             surnames = None
         else:
@@ -302,7 +302,7 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
             state(CASCADES, rows, slots, lambda d: d.groupBy("id", "surname").agg(F.max("seq").alias("seq")), 1)
     names = _names(snap, surnames, sets)
     if names is not None:
-        names = keep(names)
+        names = keep(names, "names")
     scanned = set()
     for table in known:
         has_changes = table in touched.tables
@@ -314,8 +314,9 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
         verdicts = created = None
         if has_changes:
             # read by the new snapshot, the rejects and the state: judged once a batch
-            verdicts = keep(C.validate_changes(snap.read(table, buckets), sets[table], table, unique=True))
+            verdicts = keep(C.validate_changes(snap.read(table, buckets), sets[table], table, unique=True), f"verdicts-{table}")
             created = C.created_rows(verdicts, table, snap.hwm(table))
+            created = None if created is None else keep(created, f"created-{table}")
             missed = verdicts.where(F.col("verdict") != C.ACCEPTED)
             refused.append(_refused(missed, feed, batch_id, F.lit(table), F.col("verdict"), F.col("reason")))
             accepted_seqs.append(verdicts.where(F.col("verdict") == C.ACCEPTED)
@@ -364,8 +365,11 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
         old = snap.read(SEQS, buckets) if SEQS in snap else batch.sparkSession.createDataFrame([], "id bigint, hi bigint, source string, feed string")
         out[SEQS], replaced[SEQS] = merge_ranges(old, seqs), buckets if SEQS in snap else None
         new_buckets[SEQS] = BUCKET_IDS
-    return store.publish(out, hwms=marks, batch_id=batch_id, feed=feed, append={REJECTS: reduce(DataFrame.unionByName, refused)},
-                         replaced=replaced, base=snap, scanned=scanned, bucket_ids=new_buckets)
+    try:
+        return store.publish(out, hwms=marks, batch_id=batch_id, feed=feed, append={REJECTS: reduce(DataFrame.unionByName, refused)},
+                             replaced=replaced, base=snap, scanned=scanned, bucket_ids=new_buckets)
+    finally:
+        store.remove(scratch)
 
 
 def run_change_feed(spark: SparkSession, feed_dir: str, store: TableStore, checkpoint: str,

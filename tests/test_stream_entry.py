@@ -68,7 +68,7 @@ def test_store_survives_a_torn_manifest_and_never_reuses_ids(spark):
     store.publish({"projects": make(spark, "projects", BASE)})
     top = store.hwm("projects")
     assert top == max(r["id"] for r in BASE)
-    spark.range(1).write.parquet(store.root + "/_manifest/torn")  # a crash before its version was claimed
+    spark.range(1).write.parquet(store.root + "/projects/L0-torn")  # a crash before its version was claimed
     feed = lambda *rows: spark.createDataFrame(list(rows), CF.FEED_SCHEMA)
     CF.apply_batch(store, feed(("projects", 1, "delete", top, None)), 0)
     CF.apply_batch(store, feed(("projects", 2, "create", None, '{"name":"n","customer_name":"c"}')), 1)
