@@ -11,18 +11,25 @@ anchors are hashed and shuffled at first, six in 31 positions. A window can be
 repeated only if an anchor inside it is shared with another document; shared
 anchors are extended to the windows around them, confirmed by 96 bits of two hashes.
 
-Skew. Equal anchors (or windows) of one Arrow batch are settled in the task:
-the smallest doc_id goes to the shuffle and the others are decided already. A
-passage that a third of all documents hold sends one row a batch.
+Only texts with a shared anchor are read again for their windows, and texts go
+through a shuffle twice: to meet their shared anchors and to meet their cuts.
+
+Skew. Equal anchors of one Arrow batch, and equal windows of one slice of text,
+are settled in the task: the smallest doc_id goes to the shuffle and the others
+are decided already. A passage that a third of all documents hold sends one row
+a batch.
 
 Defined cases: a null or empty text has no words; rows with a null doc_id are
-returned but neither remove words nor lose any; rows that share a doc_id never
-remove words of each other; a text shorter than the window loses nothing.
+returned but neither remove words nor lose any; rows that share a doc_id,
+repeated rows included, never remove words of each other; a text shorter than
+the window loses nothing; a very long text is hashed in chunks; an empty table
+gives an empty table; further columns, whatever their names, are ignored unless
+``carry`` names them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -39,8 +46,7 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 
 _MARKS = "key long, doc_id long, pos int, known boolean"
-_CHECKED = "doc_id long, ver int, text string, n_words long, open boolean, marks array<int>"
-_SPANS = "k1 long, k2 int, doc_id long, ver int, start int, stop int, known boolean"
+_SPANS = "k1 long, k2 int, stop int, doc_id long, ver int, start int"  # stop 0: an open window, else known spans
 
 
 def _anchors(window: int):
@@ -85,25 +91,6 @@ def _anchors(window: int):
     return run
 
 
-def _extend(window: int):
-    """Per document: does any window hold a shared anchor?"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"))
-                sizes = np.diff(w.bounds)
-                marks = part.column("marks")
-                opened = [marks[d].is_valid and len(_candidates(int(sizes[d]), marks[d].values.to_numpy(), window)) > 0
-                          for d in range(len(part))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ver"), part.column("text"), pa.array(sizes.astype(np.int64)),
-                     pa.array(opened, pa.bool_()), pa.array(marks, pa.list_(pa.int32()))],
-                    ["doc_id", "ver", "text", "n_words", "open", "marks"])
-
-    return run
-
-
 def _candidates(n: int, marks: np.ndarray, window: int) -> np.ndarray:
     """Starts of the windows that hold a shared anchor."""
     if n < window:
@@ -116,67 +103,69 @@ def _candidates(n: int, marks: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(window: int):
+    """The windows around shared anchors; what a slice of text shows to be repeated leaves as whole spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, rows, at = [], [], [], []
-            done = 0
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 marks = part.column("marks")
                 starts = [_candidates(int(w.bounds[d + 1] - w.bounds[d]), marks[d].values.to_numpy(), window)
                           for d in range(len(part))]
-                place = np.concatenate([s + w.bounds[d] for d, s in enumerate(starts)])
-                k1.append(window_hashes(w.hashes(0), place, window, 0))
-                k2.append((window_hashes(w.hashes(1), place, window, 1) >> U(32)).astype(np.uint32))
-                rows.append(np.repeat(np.arange(len(part)) + done, [len(s) for s in starts]))
-                at.append(np.concatenate(starts))
-                done += len(part)
-            if not done or not sum(map(len, k1)):
-                continue
-            a, b, row, pos = (np.concatenate(x) for x in (k1, k2, rows, at))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            ver = batch.column("ver").to_numpy()[row]
-            order = np.lexsort((ids, b, a))
-            first = np.flatnonzero(np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
-            least = np.empty(len(a), np.int64)
-            least[order] = np.repeat(ids[order][first], np.diff(np.r_[first, len(a)]))
-            gone = ids > least
-            keep = ~gone
-            # rows leave in text order: neighbours share most bytes and compress well
-            yield _span_batch(a[keep].view(np.int64), b[keep].view(np.int32), ids[keep], ver[keep],
-                              pos[keep], pos[keep] + 1, False)
-            if gone.any():
-                row, pos, ids, ver = row[gone], pos[gone], ids[gone], ver[gone]
-                head = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]
-                last = np.r_[head[1:], True]
-                ids = ids[head]
-                yield _span_batch(mix(ids.astype(U)).view(np.int64), np.zeros(len(ids), np.int32), ids, ver[head],
-                                  pos[head], pos[last] + 1, True)
+                pos = np.concatenate(starts)
+                if not len(pos):
+                    continue
+                row = np.repeat(np.arange(len(part)), [len(s) for s in starts])
+                place = pos + w.bounds[row]
+                a = window_hashes(w.hashes(0), place, window, 0)
+                b = (window_hashes(w.hashes(1), place, window, 1) >> U(32)).astype(np.uint32)
+                ids = part.column("doc_id").to_numpy()[row]
+                ver = part.column("ver").to_numpy()[row]
+                order = np.lexsort((ids, b, a))
+                first = np.flatnonzero(np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
+                least = np.empty(len(a), np.int64)
+                least[order] = np.repeat(ids[order][first], np.diff(np.r_[first, len(a)]))
+                gone = ids > least
+                keep = ~gone
+                # rows leave in text order: neighbours share most bytes and compress well
+                yield _span_batch(a[keep].view(np.int64), b[keep].view(np.int32), ids[keep], ver[keep], pos[keep], np.zeros(keep.sum()))
+                if gone.any():
+                    row, pos, ids, ver = row[gone], pos[gone], ids[gone], ver[gone]
+                    head = np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]
+                    last = np.r_[head[1:], True]
+                    ids = ids[head]
+                    yield _span_batch(mix(ids.astype(U)).view(np.int64), np.zeros(len(ids), np.int32), ids, ver[head],
+                                      pos[head], pos[last] + 1)
 
     return run
 
 
-def _span_batch(k1, k2, ids, ver, start, stop, known: bool) -> pa.RecordBatch:
+def _span_batch(k1, k2, ids, ver, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1), pa.array(k2), pa.array(ids), pa.array(ver), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)),
-         pa.array(np.full(len(ids), known))], ["k1", "k2", "doc_id", "ver", "start", "stop", "known"])
+        [pa.array(k1), pa.array(k2), pa.array(stop.astype(np.int32)), pa.array(ids), pa.array(ver), pa.array(start.astype(np.int32))],
+        ["k1", "k2", "stop", "doc_id", "ver", "start"])
 
 
-def _remove(window: int, keep_layout: bool):
+def _remove(window: int, keep_layout: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 spans = part.column("spans")
+                given = part.column("text")
+                sizes = np.diff(w.bounds)
                 removed, texts, cut = [], [], []
-                for d in range(len(part)):
-                    n = int(w.bounds[d + 1] - w.bounds[d])
+                for d, n in enumerate(sizes.tolist()):
+                    if not spans[d].is_valid:
+                        removed.append(0)
+                        cut.append([])
+                        texts.append(given[d].as_py() if keep_layout else b" ".join(w.words(d)).decode("utf-8"))
+                        continue
                     depth = np.zeros(n + 1, np.int32)
-                    if spans[d].is_valid:
-                        flat = spans[d].values
-                        # a span of window starts covers the words up to the last window's end
-                        np.add.at(depth, flat.field(0).to_numpy(), 1)
-                        np.add.at(depth, np.minimum(flat.field(1).to_numpy() + window - 1, n), -1)
+                    flat = spans[d].values
+                    # a span of window starts covers the words up to the last window's end
+                    np.add.at(depth, flat.field(0).to_numpy(), 1)
+                    np.add.at(depth, np.minimum(flat.field(1).to_numpy() + window - 1, n), -1)
                     keep = np.cumsum(depth)[:n] == 0
                     removed.append(n - int(keep.sum()))
                     edge = np.diff(np.r_[1, keep.astype(np.int8), 1])
@@ -184,17 +173,17 @@ def _remove(window: int, keep_layout: bool):
                     cut.append([{"start": s, "stop": e} for s, e in ranges])
                     texts.append(_without(w, d, keep, ranges, keep_layout))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("n_words"), pa.array(removed, pa.int64()),
+                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(removed, pa.int64()),
                      pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                     pa.array(texts, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "removed", "text"])
+                     pa.array(texts, pa.string()), *[part.column(f"carry_{i}") for i in range(len(carry))]],
+                    ["doc_id", "n_words", "n_removed", "removed", "text", *[f"carry_{i}" for i in range(len(carry))]])
 
     return run
 
 
 def _without(w: Words, d: int, keep: np.ndarray, ranges: list[tuple[int, int]], keep_layout: bool) -> str:
     if not keep_layout:
-        return b" ".join(compress(w.text(d).split(), keep.tolist())).decode("utf-8")
+        return b" ".join(compress(w.words(d), keep.tolist())).decode("utf-8")
     text, base, a = w.text(d), int(w.offsets[d]), int(w.bounds[d])
     out, at = [], 0
     for s, e in ranges:  # each removed run goes with the white space after it
@@ -203,42 +192,43 @@ def _without(w: Words, d: int, keep: np.ndarray, ranges: list[tuple[int, int]],
     return b"".join([*out, text[at:]]).decode("utf-8")
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, keep_layout: bool = False) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, keep_layout: bool = False,
+                             carry: Sequence[str] = ()) -> DataFrame:
     """``docs`` (doc_id, text) without the words of windows that start in a smaller document too.
 
     Returns doc_id, n_words, n_removed, removed (array of word ranges
-    start..stop) and text: the kept words joined by one space, or the text
-    with the removed ranges cut out if ``keep_layout``.
+    start..stop), text: the kept words joined by one space, or the text with
+    the removed ranges cut out if ``keep_layout``, and the columns ``carry``
+    of ``docs`` (other names than those) as they are.
     """
     if window < PERIOD + 8:
         raise ValueError(f"window must be {PERIOD + 8} words at least")
-    docs = columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumn("ver", F.hash("text"))  # tells texts under one doc_id apart
-    marks = docs.where("doc_id is not null").mapInArrow(_anchors(window), _MARKS)
+    carry = list(carry)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = columns(docs, ["doc_id", "text", *carry]).select(
+        F.col("doc_id").cast("long"), F.hash(text).alias("ver"),  # ver tells texts under one doc_id apart
+        text.alias("text"), *[F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)])
+    known = docs.where("doc_id is not null").select("doc_id", "ver", "text")
+    marks = known.select("doc_id", "text").mapInArrow(_anchors(window), _MARKS)
     group = Window.partitionBy("key")
+    # written: the shuffles behind these two tables are gone before the next one starts
     shared = (marks.withColumn("_lo", F.min("doc_id").over(group)).withColumn("_hi", F.max("doc_id").over(group))
               .withColumn("_any", F.max("known").over(group))
               .where("known or _any or _lo <> _hi")
-              .groupBy("doc_id").agg(F.collect_list("pos").alias("marks")))
-    checked = written(docs.join(shared, "doc_id", "left").mapInArrow(_extend(window), _CHECKED)
-                      .withColumn("marks", F.when(F.col("open"), F.col("marks"))), "passages-checked")
-    least = F.min(F.when(~F.col("known"), F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
-    spans = (checked.where("open").select("doc_id", "ver", "text", "marks").mapInArrow(_windows(window), _SPANS)
-             .withColumn("_least", least).where(F.col("known") | (F.col("doc_id") > F.col("_least")))
-             .groupBy("doc_id", "ver").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    cut = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, text string"
-    kind = "array<struct<start:int,stop:int>>"
-    hit = (checked.where("open").select("doc_id", "ver", "n_words", "text").join(spans, ["doc_id", "ver"], "left")
-           .drop("ver"))
-    calm = checked.where("not open").select("doc_id", "n_words", "text", F.lit(None).cast(kind).alias("spans"))
-    out = hit.mapInArrow(_remove(window, keep_layout), cut)
-    if keep_layout:
-        rest = calm.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
-                           F.array().cast(kind).alias("removed"), "text")
-    else:
-        rest = calm.mapInArrow(_remove(window, False), cut)
-    return out.unionByName(rest)
+              .groupBy("doc_id").agg(F.collect_set("pos").alias("marks")))
+    shared = written(shared, "passages-anchors")
+    least = F.min(F.when(F.col("stop") == 0, F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
+    end = F.when(F.col("stop") == 0, F.col("start") + 1).otherwise(F.col("stop"))
+    spans = (known.join(shared, "doc_id").select("doc_id", "ver", "text", "marks").mapInArrow(_windows(window), _SPANS)
+             .withColumn("_least", least).where((F.col("stop") > 0) | (F.col("doc_id") > F.col("_least")))
+             .groupBy("doc_id", "ver").agg(F.collect_set(F.struct("start", end.alias("stop"))).alias("spans")))
+    spans = written(spans, "passages-spans")
+    kinds = dict(docs.dtypes)
+    out = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, text string"
+    out += "".join(f", carry_{i} {kinds[f'carry_{i}']}" for i in range(len(carry)))
+    # the texts grow with the documents, so neither side of this join is ever broadcast
+    cut = docs.hint("merge").join(spans, ["doc_id", "ver"], "left").mapInArrow(_remove(window, keep_layout, carry), out)
+    return cut.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
 def sql(table: str = "documents", window: int = WINDOW) -> str:

@@ -19,8 +19,8 @@ MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LENGTH_FACTOR = 0xD6E8FEB86659FD93
-CHUNK = 1 << 20  # bytes or words hashed at a time: bounds the prefix arrays
-SLICE_BYTES = 4 << 20  # text handled at a time inside an Arrow batch
+CHUNK = 1 << 17  # bytes or words hashed at a time: bounds the prefix arrays
+SLICE_BYTES = 2 << 20  # text handled at a time inside an Arrow batch
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -108,6 +108,9 @@ class Words:
         h = ranged_hash(self.raw.astype(np.uint16) + np.uint16(1), self.starts, self.ends, (BYTE_BASE + 2 * seed) & MASK)
         return mix(h + (self.ends - self.starts).astype(U) * U(LENGTH_FACTOR) + U(seed))
 
+    def words(self, doc: int) -> list[bytes]:
+        return self.text(doc).split()
+
     def text(self, doc: int) -> bytes:
         return self.raw[self.offsets[doc]:self.offsets[doc + 1]].tobytes()
 
