@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,5 +129,23 @@ def check_output_contract(df: DataFrame, required: tuple[str, ...]) -> list[str]
     return [c for c in required if c not in have]
 
 
+def contract_report(results: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """Q5 with what is behind the columns: per result and required column whether it is there, its rows and its nulls.
+
+    ``results`` maps a name to (frame, required columns). One aggregate a
+    result; a missing column has null counts.
+    """
+    parts = []
+    for name, (df, required) in results.items():
+        have = [c for c in required if c in df.columns]
+        counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in have])
+        rows = F.array(*[F.struct(
+            F.lit(c).alias("column"), F.lit(c in have).alias("present"),
+            (F.col("_n") if c in have else F.lit(None)).cast("bigint").alias("n_rows"),
+            (F.col(f"_null_{c}") if c in have else F.lit(None)).cast("bigint").alias("n_null")) for c in required])
+        parts.append(counts.select(F.lit(name).alias("result"), F.explode(rows).alias("r")).select("result", "r.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 KPI_CONTRACT = M.KPI_COLUMNS
 PERFORMANCE_CONTRACT = ("staff", "total", "contracted", "revenue")

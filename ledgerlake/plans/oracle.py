@@ -92,8 +92,27 @@ invoices_v AS (
   FROM lineitem
 )"""
 
+V_SERVICES = """
+services_v AS (
+  SELECT p_partkey AS id, p_name AS name, p_brand AS category, CAST(floor(p_retailprice) AS BIGINT) AS standard_price,
+    p_type AS unit, CAST(NULL AS VARCHAR) AS duration, CAST(NULL AS VARCHAR) AS note
+  FROM part
+)"""
+
+V_ESTIMATES = """
+estimates_v AS (
+  SELECT 'Q-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS quote_no,
+    CAST(NULL AS VARCHAR) AS customer_name, 'Project#' || CAST(l_orderkey AS VARCHAR) AS title,
+    'Service#' || CAST(l_partkey AS VARCHAR) AS service, l_quantity AS qty,
+    CASE WHEN l_quantity <> 0 THEN CAST(floor(l_extendedprice / l_quantity) AS BIGINT) END AS unit_price,
+    CAST(floor(l_extendedprice) AS BIGINT) AS subtotal,
+    CASE WHEN l_orderkey % 2 = 0 THEN strftime(l_shipdate, '%Y/%-m/%-d') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS created_date,
+    CAST(NULL AS VARCHAR) AS expiry_date, CAST(NULL AS VARCHAR) AS note
+  FROM lineitem
+)"""
+
 VIEWS = {"projects_v": V_PROJECTS, "employees_v": V_EMPLOYEES, "customers_v": V_CUSTOMERS,
-         "invoices_v": V_INVOICES}
+         "invoices_v": V_INVOICES, "services_v": V_SERVICES, "estimates_v": V_ESTIMATES}
 
 
 def with_views(sql: str, *extra_ctes: str) -> str:
@@ -325,6 +344,12 @@ SELECT staff, source, COUNT(*) AS n FROM (
   SELECT 'projects' AS source, staff FROM projects_v UNION ALL SELECT 'customers', staff FROM customers_v) t
 WHERE staff IS NOT NULL AND NOT EXISTS (SELECT 1 FROM employees_v e WHERE {SURNAME_ASCII.replace('name', 'e.name')} = t.staff)
 GROUP BY source, staff""")
+    columns = [("staff_performance", "perf", c) for c in ("staff", "total", "contracted", "revenue", "win_rate")]
+    columns += [("projects", "projects_v", c) for c in ("id", "staff", "contract_date")]
+    columns += [("invoices", "invoices_v", c) for c in ("invoice_no", "amount", "payment_status")]
+    q["output_contract"] = with_views(" UNION ALL ".join(
+        f"SELECT '{r}' AS result, '{c}' AS \"column\", true AS present, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null FROM {v}"
+        if c != "win_rate" else f"SELECT '{r}', '{c}', false, NULL, NULL" for r, v, c in columns), f"perf AS ({STAFF_PERFORMANCE})")
     return q
 
 

@@ -202,6 +202,10 @@ SELECT '{table}/' || b, 4 + n, p.rn, p.cells
 FROM (SELECT id % (SELECT GREATEST(3, CAST(CEIL(COUNT(*) / 50000) AS BIGINT)) FROM {table}_v) AS b, COUNT(*) AS n FROM {table}_v GROUP BY 1) t,
   (VALUES {", ".join(f"({i}, {_q(x)})" for i, x in enumerate(head, 1))}) p(rn, cells)""")
     q["file_profile"] = with_views(" UNION ALL ".join(files))
+    cells = {t: " || '|' || ".join(f"COALESCE(CAST({f.name} AS VARCHAR), '-')" for f in S.payload_schema(t).fields) for t in S.TABLES}
+    q["ledger_load_all"] = with_views(" UNION ALL ".join(f"SELECT '{t}' AS source, {c} AS cells FROM {t}_v" for t, c in cells.items()))
+    q["import_once"] = with_views("SELECT 'employees' AS source, name FROM employees_v UNION ALL SELECT 'services', name FROM services_v")
+    q["json_lines"] = with_views(f"SELECT id, {', '.join(FIELDS)} FROM projects_v")
     q["ledger_load"] = with_views(f"SELECT {', '.join(FIELDS)} FROM projects_v")
     q["ledger_rejects"] = with_views("SELECT name, 'estimate_amount' AS reason FROM projects_v WHERE id % 11 = 0")
     q["stream_rejects"] = with_views(

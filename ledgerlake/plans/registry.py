@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake import schemas as S
 from ledgerlake.functions import normalise as N
 from ledgerlake.operators import changes as C
 from ledgerlake.operators import filters as P
@@ -172,6 +174,15 @@ def orphan_staff(spark, sf):
     return Q.orphan_staff(_projects(spark, sf), B.customers(spark, sf), B.employees(spark, sf))
 
 
+def output_contract(spark, sf):
+    """Q5: required columns of three results; ``win_rate`` is not one of staff_performance."""
+    return Q.contract_report({
+        "staff_performance": (M.staff_performance(_projects(spark, sf)), (*Q.PERFORMANCE_CONTRACT, "win_rate")),
+        "projects": (_projects(spark, sf), ("id", "staff", "contract_date")),
+        "invoices": (B.invoices(spark, sf), ("invoice_no", "amount", "payment_status")),
+    })
+
+
 # --- change sets ----------------------------------------------------------------
 
 
@@ -296,6 +307,44 @@ def ledger_load(spark, sf):
     return rows
 
 
+def _ledgers(spark, sf):
+    return {"employees": B.employees(spark, sf), "customers": B.customers(spark, sf), "projects": _projects(spark, sf),
+            "estimates": B.estimates(spark, sf), "services": B.services(spark, sf),
+            "invoices": B.invoices(spark, sf).withColumn("id", F.xxhash64("invoice_no"))}
+
+
+def ledger_load_all(spark, sf):
+    """S1 over all six ledgers: each is exported and loaded; a row's fields as one text, typed values after the load."""
+    parts = []
+    for table, rows in _ledgers(spark, sf).items():
+        path = scratch_path(spark, f"ledger-{table}")
+        L.export_ledger(rows, table, path, _files(rows), f"{table} ledger")
+        loaded, _ = L.load_ledger(spark, path, table, assign_ids=False)
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in loaded.columns]
+        parts.append(loaded.select(F.lit(table).alias("source"), F.concat_ws("|", *cells).alias("cells")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def import_once(spark, sf):
+    """Employees and services are imported, and imported again: each row is there once."""
+    from ledgerlake.sources.store import TableStore
+    store = TableStore(spark, scratch_path(spark, "import-store"))
+    paths = {}
+    for table in ("employees", "services"):
+        paths[table] = scratch_path(spark, f"import-{table}")
+        rows = _ledgers(spark, sf)[table]
+        L.export_ledger(rows, table, paths[table], _files(rows), f"{table} ledger")
+    for _ in range(2):
+        L.import_ledgers(spark, store, paths)
+    return store.read("employees").select(F.lit("employees").alias("source"), "name").unionByName(
+        store.read("services").select(F.lit("services").alias("source"), "name"))
+
+
+def json_lines(spark, sf):
+    """The projects as JSON lines, read back by the table's schema."""
+    return L.to_json_lines(_projects(spark, sf)).select(F.from_json("value", S.TABLES["projects"]).alias("r")).select("r.*")
+
+
 def ledger_rejects(spark, sf):
     """The rows a load refuses: every eleventh project is exported with an amount that is no number."""
     path = scratch_path(spark, "ledger-rejects")
@@ -409,6 +458,7 @@ def all_queries() -> dict[str, Query]:
         "domain_violations": domain_violations,
         "date_formats": date_formats,
         "orphan_staff": orphan_staff,
+        "output_contract": output_contract,
         # change sets
         "normalised_changes": normalised_changes,
         "garbled_rows": garbled_rows,
@@ -428,7 +478,10 @@ def all_queries() -> dict[str, Query]:
         "table_change_verdicts": table_change_verdicts,
         # ledgers and the stream
         "ledger_load": ledger_load,
+        "ledger_load_all": ledger_load_all,
         "ledger_rejects": ledger_rejects,
+        "import_once": import_once,
+        "json_lines": json_lines,
         "ledger_load_breaks": ledger_load_breaks,
         "source_profile": source_profile,
         "file_profile": file_profile,

@@ -138,6 +138,32 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    return p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("category"),
+        F.floor("p_retailprice").cast("bigint").alias("standard_price"), F.col("p_type").alias("unit"),
+        _null().alias("duration"), _null().alias("note"))
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimate lines; the id is no key ((l_orderkey, l_linenumber) is not unique), it only orders an export."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    return li.select(
+        (ok * 8 + ln).alias("id"),
+        F.concat(F.lit("Q-"), ok.cast("string"), F.lit("-"), ln.cast("string")).alias("quote_no"),
+        _null().alias("customer_name"),
+        F.concat(F.lit("Project#"), ok.cast("string")).alias("title"),
+        F.concat(F.lit("Service#"), F.col("l_partkey").cast("string")).alias("service"),
+        F.col("l_quantity").alias("qty"),
+        F.floor(F.try_divide("l_extendedprice", "l_quantity")).cast("bigint").alias("unit_price"),
+        F.floor("l_extendedprice").cast("bigint").alias("subtotal"),
+        F.when(ok % 2 == 0, _slash_date(F.col("l_shipdate"))).otherwise(_iso_date(F.col("l_shipdate"))).alias("created_date"),
+        _null().alias("expiry_date"), _null().alias("note"))
+
+
 # --- change sets ------------------------------------------------------------
 UNKNOWN_ID_OFFSET = 10_000_000
 

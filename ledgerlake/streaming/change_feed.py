@@ -251,16 +251,20 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, feed: str =
             snap = store.snapshot()
             if batch_id <= snap.last_batch(feed):
                 return None  # already published: a replay after restart
+            kept: list[DataFrame] = []
             try:
-                return _apply(store, snap, batch, batch_id, feed)
+                return _apply(store, snap, batch, batch_id, feed, kept)
             except PublishConflict:
                 if attempt == ATTEMPTS - 1:
                     raise
+            finally:
+                for frame in kept:
+                    frame.unpersist()
     finally:
         batch.unpersist()
 
 
-def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, feed: str) -> int:
+def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, feed: str, kept: list[DataFrame]) -> int:
     spark = batch.sparkSession
     scratch = scratch_path(spark, "batch")
     known = [t for t in APPLY_ORDER if t in snap]
@@ -287,7 +291,8 @@ def _apply(store: TableStore, snap: Snapshot, batch: DataFrame, batch_id: int, f
         new_buckets[name] = bucket_ids
 
     for table in touched.tables:
-        split = keep(_split(snap, batch, table, feed, touched), f"split-{table}")
+        split = _split(snap, batch, table, feed, touched).persist()
+        kept.append(split)
         sets[table] = split.where("why is null").drop("why")
         refused.append(_refused(split.where("why is not null"), feed, batch_id, F.lit(table), F.lit(C.REJECTED), F.col("why")))
     surnames = None
