@@ -103,14 +103,14 @@ class Heaps:
         self.score = np.full((rows, k), NONE)
         self.id = np.full((rows, k), np.iinfo(np.int64).max)
 
-    def merge(self, score: np.ndarray, ids: np.ndarray) -> None:
-        """Take in further entries, row by row; entries of score NONE are empty."""
+    def merge(self, score: np.ndarray, ids: np.ndarray, at: slice = slice(None)) -> None:
+        """Take further entries into the rows ``at``; entries of score NONE are empty."""
         k = self.score.shape[1]
-        score, ids = np.hstack([self.score, score]), np.hstack([self.id, ids])
+        score, ids = np.hstack([self.score[at], score]), np.hstack([self.id[at], ids])
         order = np.argsort(ids, axis=1, kind="stable")
         score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
         order = np.argsort(~score, axis=1, kind="stable")[:, :k]  # ~x falls as x rises and cannot overflow
-        self.score, self.id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        self.score[at], self.id[at] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def _vectors(col: pa.Array, rows: np.ndarray, scale: int) -> np.ndarray:
@@ -133,15 +133,11 @@ class _PositiveBlock:
         scores = np.where(own, NONE, scores)
         # ids rise within a tile, so equal scores are already in the right order
         best = np.argsort(~scores, axis=1, kind="stable")[:, :self.heaps.score.shape[1]]
-        part = Heaps(0, 1)
-        part.score, part.id = self.heaps.score[at], self.heaps.id[at]
-        part.merge(np.take_along_axis(scores, best, 1), ids[best])
-        k = self.heaps.score.shape[1]
-        self.heaps.score[at], self.heaps.id[at] = part.score[:, :k], part.id[:, :k]
+        self.heaps.merge(np.take_along_axis(scores, best, 1), ids[best], at)
 
     def result(self) -> pa.RecordBatch:
-        row, _ = np.nonzero(self.heaps.score != NONE)
         full = self.heaps.score != NONE
+        row, _ = np.nonzero(full)
         return pa.RecordBatch.from_arrays(
             [pa.array(self.ids[row]), pa.array(self.heaps.id[full]), pa.array(self.heaps.score[full])], list(self.fields))
 
@@ -172,10 +168,7 @@ class _WindowBlock:
             found = np.take_along_axis(falling, inside, 1)
             fits = (reach < falling.shape[1]) & (found >= low[:, None]) & (found != NONE)
             if fits.any():
-                part = Heaps(0, 1)
-                part.score, part.id = heaps.score[at], heaps.id[at]
-                part.merge(np.where(fits, found, NONE), ids[np.take_along_axis(order, inside, 1)])
-                heaps.score[at], heaps.id[at] = part.score[:, :k], part.id[:, :k]
+                heaps.merge(np.where(fits, found, NONE), ids[np.take_along_axis(order, inside, 1)], at)
 
     def result(self) -> pa.RecordBatch:
         out = []
