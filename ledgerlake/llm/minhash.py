@@ -260,9 +260,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
         "s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = salted_left_join(signed.where("n_shingles > 0").select("doc_id", "n_shingles", "s1", "s2"), of_class,
                             ["s1", "s2", "n_shingles"], F.col("doc_id"), grows=True).select("doc_id", "n_shingles", "component_id")
-    empty = salted_left_join(signed.where("n_shingles = 0").select("doc_id", "n_shingles"),
-                             found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")),
-                             ["doc_id"], F.col("n_shingles"))
+    component_of = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles").join(component_of.hint("merge"), "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return full.unionByName(empty).select("doc_id", "n_shingles", component.alias("component_id"),
                                           F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
