@@ -42,7 +42,7 @@ QUERY_BLOCK = 2048
 STRIPE = 65536  # candidates of a cell
 TILE = 4096  # candidates a query looks at together
 CLASSES = 8  # of norms
-DIMENSIONS = 4  # of a slab
+DIMENSIONS = 8  # of a slab
 SEEDS = 16  # candidates scored in full after a quarter of the slabs
 SCALE = 256
 EXACT = 2.0**52
@@ -181,7 +181,8 @@ def _meet(queries: DataFrame, candidates: DataFrame, cells: DataFrame, k: int, s
     left = (queries.join(cells.withColumnRenamed("dim", "_dim"), F.col("dim") == F.col("_dim")).where(may)
             .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
             .select("dim", "class", "stripe", "block", F.lit(0).alias("side"), "vec_id", "v", "low"))
-    pairs = left.select("dim", "class", "stripe", "block").distinct()
+    # a row a cell and block: written, so that its size is known before candidates would be shuffled to meet it
+    pairs = written(left.select("dim", "class", "stripe", "block").distinct(), "topk-pairs")
     right = candidates.join(pairs, ["dim", "class", "stripe"]).select(
         "dim", "class", "stripe", "block", F.lit(1).alias("side"), "vec_id", "v", F.lit(None).cast("long").alias("low"))
     cell = ["dim", "class", "stripe", "block"]
@@ -198,12 +199,12 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5, scale: int = SCALE, vect
     # a row a vector length: class limits, and how many stripes and blocks of queries its rows ask for
     dims = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(query_filter).alias("m"),
                                    F.percentile_approx("norm", steps, 1000).alias("limits")).where("m > 0")
-    dims = dims.select("dim", "limits", F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("blocks"))
+    dims = written(dims.select("dim", "limits", F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("blocks")), "topk-dims")
     above = lambda x: F.size(F.filter("limits", lambda y: y < x))
     classed = written(rows.join(dims, "dim").withColumn("class", above(F.col("norm"))).drop("limits"), "topk-classed")
     sizes = classed.groupBy("dim", "class").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("largest"))
     stripes = F.greatest(F.ceil(F.col("n") / STRIPE), F.least(F.ceil(F.col("n") / TILE), F.lit(cores))).cast("int")
-    sizes = sizes.select("dim", "class", "largest", stripes.alias("stripes"))
+    sizes = written(sizes.select("dim", "class", "largest", stripes.alias("stripes")), "topk-cells")
     spread = F.pmod(F.xxhash64("vec_id"), F.col("stripes")).cast("int")
     candidates = classed.join(sizes.drop("largest"), ["dim", "class"]).withColumn("stripe", spread).select("dim", "class", "stripe", "vec_id", "v")
     cells = sizes.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).select("dim", "class", "stripe", "largest")

@@ -29,7 +29,7 @@ def corpus():
     out += [(200 + i, f"{text(60)}\n{passage}\n{text(30)}") for i in range(6)]
     out += [(300, "password=b7db7aa4a5fcc78305 " + text(80)), (301, "too short"), (302, "same " * 100), (303, None), (304, ""),
             (305, text(60) + "\nHome | News | About | More"), (306, passage), (0, out[0][1]), (0, out[0][1]), (307, " ".join([text(50)] * 2)),
-            (None, passage), (400, text(9000))]
+            (None, passage), (400, text(9000)), (2, text(75)), (4, text(90))]
     return out
 
 
@@ -37,7 +37,8 @@ def brute(spark, rows):
     df = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "n long, doc_id long, text string")
     docs = [(rows[r.n][0], r.clean_text) for r in line_first(df).orderBy("n").collect() if r.kept]  # tested by its own SQL
     kept = {r[0] for r in test_minhash.brute(docs) if r[3]}
-    docs = list({d: t for d, t in reversed(docs) if d is not None and d in kept}.items()) + [x for x in docs if x[0] is None]
+    docs = list({d: t for d, t in sorted((x for x in docs if x[0] is not None), reverse=True) if d in kept}.items()) + [
+        x for x in docs if x[0] is None]
     left = {r[0]: r for r in test_substring_dedup.brute([x for x in docs if x[0] is not None], 50)}
     docs = [(d, left[d][3]) for d in left if left[d][2] == 0 or left[d][2] < left[d][1]] + [x for x in docs if x[0] is None]
     out = []
