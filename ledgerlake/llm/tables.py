@@ -66,7 +66,9 @@ def salted_left_join(big: DataFrame, unique: DataFrame, keys: list[str], spread:
 
     ``big``'s rows are dealt over ``salts`` sub-keys by ``spread``; each row of
     the unique side is repeated once per sub-key, so a hot key is shared by
-    ``salts`` tasks and no row is multiplied. ``grows``: the unique side grows
+    ``salts`` tasks and no row is multiplied. Both sides reach the join by a
+    shuffle of their own, so AQE's skew join splits what is still too large.
+    ``grows``: the unique side grows
     with the data and is never broadcast, whatever its size seems to be before
     it is repeated.
     """
