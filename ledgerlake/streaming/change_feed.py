@@ -124,18 +124,22 @@ class _Touched:
             size = F.when(F.col("table") == t, F.lit(n).cast("bigint")).otherwise(size)
         keyed = F.col("id").isNotNull() & F.col("op").isin(*C.KEYED_OPS)
         whole = F.call_function("div", F.col("id") - F.pmod(F.col("id"), F.col("_size")), F.col("_size"))
-        numbers = {"id": F.when(keyed, whole), "seq": bucket_of(F.col("seq"), BUCKET_IDS),
-                   "ref": F.when(F.col("ref").isNotNull(), slot(F.col("ref")))}
-        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("n")) for k, n in numbers.items()])
         own = batch.where(F.col("table").isin(known)).withColumn("_size", F.nullif(size, F.lit(0).cast("bigint")))
-        rows = own.select("table", F.explode(kinds).alias("k")).select("table", "k.*").distinct().collect()
+        # one pass: per seq its rows, buckets and slots, then the distinct numbers of all seqs
+        per_seq = own.groupBy("table", "seq").agg(
+            F.count(F.lit(1)).alias("n"), F.collect_set(F.when(keyed, whole)).alias("id"),
+            F.collect_set(F.when(F.col("ref").isNotNull(), slot(F.col("ref")).cast("bigint"))).alias("ref"))
+        repeated = F.when(F.col("seq").isNotNull() & (F.col("n") > 1), F.lit(1).cast("bigint"))
+        numbers = {"id": F.col("id"), "ref": F.col("ref"), "seq": F.array(bucket_of(F.col("seq"), BUCKET_IDS)), "repeated": F.array(repeated)}
+        marked = lambda kind: lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("n"))
+        kinds = F.concat(*[F.transform(n, marked(k)) for k, n in numbers.items()])
+        rows = per_seq.select("table", F.explode(kinds).alias("k")).select("table", "k.*").distinct().collect()
         self.tables = sorted({r["table"] for r in rows})
         self.sets = {}
         for r in rows:
             if r["n"] is not None:
                 self.sets.setdefault((r["table"], r["kind"]), set()).add(r["n"])
-        often = own.where("seq is not null").groupBy("table", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        self.repeats = {r["table"] for r in often.select("table").distinct().collect()}
+        self.repeats = {t for t, kind in self.sets if kind == "repeated"}
 
     def of(self, table: str, kind: str) -> set[int]:
         return self.sets.get((table, kind), set())
