@@ -111,6 +111,9 @@ class ByteBpe:
         return [i for i in ids if i >= 0]
 
     def encode_piece(self, piece: str) -> list[int]:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isascii() and word.isalpha():  # one piece of the pattern
+            return self.merge(piece.encode("ascii"))
         return [i for p in self._split.findall(piece) for i in self.merge(p.encode("utf-8"))]
 
     def decode(self, ids) -> str:
