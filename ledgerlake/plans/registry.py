@@ -388,8 +388,16 @@ def source_profile(spark, sf):
 
 
 # --- streaming ----------------------------------------------------------------------
+BATCHES = 3  # that a feed found waiting is taken in
+
+
 def _streamed(spark, sf):
-    """The project change set streamed in three files or more through a fresh store."""
+    """The project change set streamed in three files or more through a fresh store.
+
+    A micro-batch takes a share of the waiting files: one costs the same dozen
+    jobs and rewrites whole buckets however few changes it holds, so batches
+    of a fixed size would let that part grow with the feed.
+    """
     from ledgerlake.streaming import change_feed as CF
     root = scratch_path(spark, "stream")
     store = CF.feed_store(spark, root + "/store")
@@ -397,8 +405,9 @@ def _streamed(spark, sf):
     store.publish({"projects": projects, "invoices": B.invoices(spark, sf)})
     feed = root + "/feed"
     rows = CF.to_feed(_changes(spark, sf), "projects")
-    rows.repartitionByRange(_files(rows, 3), "seq").write.json(feed)
-    CF.run_change_feed(spark, feed, store, root + "/checkpoint")
+    files = _files(rows, BATCHES)
+    rows.repartitionByRange(files, "seq").write.json(feed)
+    CF.run_change_feed(spark, feed, store, root + "/checkpoint", files_per_trigger=-(-files // BATCHES))
     return store
 
 

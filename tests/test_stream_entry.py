@@ -91,3 +91,14 @@ def test_registered_queries_run_on_smoke_data(spark):
     assert M.KPI_COLUMNS == tuple(qs["kpi_summary"](spark, SF).columns)
     assert os.path.isdir(SF)
     assert qs["project_by_id"](spark, SF).where(F.col("id") == 1234).count() in (0, 1)
+
+
+def test_batches_do_not_grow_in_number_with_the_feed(spark, monkeypatch):
+    from ledgerlake.plans import registry as R
+    few = R._streamed(spark, E.SMOKE_DIR)
+    monkeypatch.setattr(R, "ROWS_PER_FILE", 100)  # more than three files
+    many = R._streamed(spark, E.SMOKE_DIR)
+    assert len(many.versions()) == len(few.versions()) == 1 + 3
+    facts = lambda s: sorted(map(tuple, s.read(CF.REJECTS).select("table", "seq", "op", "id", "verdict", "reason").collect()), key=str)
+    assert facts(many) == facts(few)
+    assert CF.published_kpis(many).collect() == CF.published_kpis(few).collect() == CF.incremental_kpis(many).collect()
