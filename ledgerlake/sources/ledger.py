@@ -30,6 +30,7 @@ from ledgerlake.functions import normalise as N
 from ledgerlake.plans.joins import rank_by
 
 PREAMBLE_ROWS = 4
+BLANK_LINE = r"^[ \t\r]*\z"  # in text files
 
 
 def _positional_schema(table: str) -> T.StructType:
@@ -38,12 +39,17 @@ def _positional_schema(table: str) -> T.StructType:
 
 
 def _position(df: DataFrame) -> DataFrame:
-    """``df`` of a file source with ``_line``: 0-based in its file's first split, null past it."""
+    """``df`` of a file source with ``_line``: 0-based in its file's first split, null past it.
+
+    The starts are one row per file, as the driver's own file listing holds
+    them, so they are sent to the rows: a join by key would shuffle every row
+    by its file's path.
+    """
     df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_mono"))
     first = (df.where(F.col("_block") == 0).groupBy(F.col("_file").alias("_f0"))
              .agg(F.min("_mono").alias("_start")))
-    j = df.join(first, (F.col("_file") == F.col("_f0")) & (F.col("_block") == 0), "left")
+    j = df.join(F.broadcast(first), (F.col("_file") == F.col("_f0")) & (F.col("_block") == 0), "left")
     return j.withColumn("_line", F.col("_mono") - F.col("_start")).drop("_f0", "_start")
 
 
@@ -55,10 +61,8 @@ def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
     position, ``_ragged`` marks a row with a wrong number of cells.
     """
     text = spark.read.option("recursiveFileLookup", "true").text(path)
-    blank = (_position(text).where((F.col("_line") < PREAMBLE_ROWS) & (F.trim(F.translate("value", "\r\t", "  ")) == ""))
-             .groupBy(F.col("_file").alias("_f1")).agg(F.count(F.lit(1)).alias("_blank")))
     schema = T.StructType([*_positional_schema(table).fields, T.StructField("_ragged", T.StringType())])
-    broken = files_with_breaks(text)
+    broken, early_blanks = files_with_breaks(text), has_early_blanks(text)
 
     def read(multi_line: bool) -> DataFrame:
         rows = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
@@ -69,8 +73,13 @@ def read_ledger_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
         return _position(rows.where(here if multi_line else ~here) if broken else rows)
 
     raw = read(False).unionByName(read(True)) if broken else read(False)
-    return (raw.join(blank, F.col("_file") == F.col("_f1"), "left")
-            .withColumn("_skip", PREAMBLE_ROWS - F.coalesce("_blank", F.lit(0)))
+    skip = F.lit(PREAMBLE_ROWS).cast("bigint")
+    if early_blanks:
+        blank = (_position(text).where((F.col("_line") < PREAMBLE_ROWS) & F.col("value").rlike(BLANK_LINE))
+                 .groupBy(F.col("_file").alias("_f1")).agg(F.count(F.lit(1)).alias("_blank")))
+        raw = raw.join(F.broadcast(blank), F.col("_file") == F.col("_f1"), "left")
+        skip = PREAMBLE_ROWS - F.coalesce("_blank", F.lit(0))
+    return (raw.withColumn("_skip", skip)
             .withColumn("_order", F.struct("_file", "_block", "_mono")).drop("_f1", "_blank"))
 
 
@@ -80,7 +89,12 @@ def files_with_breaks(text: DataFrame) -> list[str]:
     Names of files only, as the driver's own file listing holds them.
     """
     open_quote = F.regexp_count("value", F.lit('"')) % 2 == 1
-    return sorted(r[0] for r in text.where(open_quote).select("_metadata.file_path").distinct().collect())
+    return sorted(r[0] for r in text.where(F.col("value").contains('"') & open_quote).select("_metadata.file_path").distinct().collect())
+
+
+def has_early_blanks(text: DataFrame) -> bool:
+    """Is any line of a file's first split blank? Only then the blank ones in the preamble are counted."""
+    return not text.where((F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(BLANK_LINE)).select(F.lit(1)).isEmpty()
 
 
 def file_profile(spark: SparkSession, path: str, table: str, n: int = 6) -> DataFrame:
@@ -114,12 +128,14 @@ def load_ledger(spark: SparkSession, path: str, table: str, assign_ids: bool = T
     # a sheet's number 0 is an empty first cell; other text that reads as 0 (000, 0D) is a value
     body = body.where(first.isNotNull() & (first != "") & ~first.rlike(r"^-?0(\.0+)?\z"))
     dates = set(S.DATE_COLUMNS.get(table, ()))
+    # a projection of its own: a number is used several times, and would be parsed as often
+    body = body.select("*", *[N.number(f"_c{i}").alias(f"_n{i}") for i, f in enumerate(fields) if f.name in dates])
     typed, bad = [], [F.when(F.col("_ragged").isNotNull(), F.lit("cell_count"))]
     for i, f in enumerate(fields):
         rawc = F.col(f"_c{i}")
         if f.name in dates:
-            v = N.parse_ledger_date(rawc)
-            bad.append(F.when(N.bad_serial(rawc), F.lit(f.name)))
+            v = N.parse_ledger_date(rawc, as_number=f"_n{i}")
+            bad.append(F.when(N.bad_serial(rawc, f"_n{i}"), F.lit(f.name)))
         elif isinstance(f.dataType, T.StringType):
             v = rawc
         else:

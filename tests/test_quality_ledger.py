@@ -168,3 +168,32 @@ def test_file_profile(spark):
     assert set(got) == {(f, n) for f in "01" for n in range(1, 7)} and {c for c, _ in got.values()} == {9}
     assert got["0", 1][1] == "ledger||||||||" and got["0", 4][1].startswith("name|address|")
     assert got["1", 5][1] == "n1|||1|||||" and got["0", 6][1] == "n2|||2|||||x\ny"
+
+
+def test_a_load_shuffles_no_rows(spark, tmp_path):
+    """A row meets its file's start and blank lines without a join by the file's path."""
+    rows = make(spark, "employees", [{"id": i, "name": f"n{i}"} for i in range(1, 40)])
+    L.export_ledger(rows, "employees", str(tmp_path / "out"), 3, "employees ledger")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        loaded = L.load_ledger(spark, str(tmp_path / "out"), "employees", assign_ids=False)[0]
+        assert "SortMergeJoin" not in loaded._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["name"] for r in loaded.collect()) == sorted(f"n{i}" for i in range(1, 40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blank_lines_of_a_preamble_are_counted(spark, tmp_path):
+    width = ",,,,,,"
+    (tmp_path / "a.csv").write_text("title\n \t\nnote\nname" + width + "\nfirst" + width + "\n\nsecond" + width + "\n")
+    (tmp_path / "b.csv").write_text("title\n" + width + "\nnote\nname" + width + "\nthird" + width + "\n")
+    rows = L.load_ledger(spark, str(tmp_path), "employees", assign_ids=False)[0]
+    assert sorted(r["name"] for r in rows.collect()) == ["first", "second", "third"]
+
+
+def test_numbers_are_those_a_cast_reads(spark):
+    from ledgerlake.functions import normalise as N
+    texts = ["1e-5", "-5", "1.5d", "0x1p-3", "0x1e-5", "NaN", "-Infinity", "2024-1-2", "2024/1/2", "1-", "--1", " 12 ", "1E-3f", "", None, "0", "-0.0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(N.number("t").alias("a"), F.col("t").try_cast("double").alias("b")).where("not (a <=> b)").collect()
+    assert got == []
