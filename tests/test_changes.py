@@ -127,3 +127,15 @@ def test_cascade_clears_namesakes_not_later_assignments(spark):
     t = projects.withColumn("_staff_seq", F.when(F.col("id") == 1, F.lit(50)).otherwise(F.lit(None)).cast("bigint"))
     after = {r["id"]: r["staff"] for r in C.cascade_staff(t, names).collect()}
     assert after[1] == "山田" and after[3] is None
+
+
+def test_changes_are_judged_once(spark):
+    """The rules on the change itself run when the set is written, not again in each branch of the plans."""
+    cur = make(spark, "projects", BASE)
+    ch = changes(spark, "projects", [(1, "create", None, full(name="a")), (2, "update", 1, full(name="b")), (3, "delete", 2, None), (3, "delete", 2, None)])
+    new, verdicts = C.apply_change_set(cur, ch, "projects")
+    for frame in (new, verdicts, C.validate_changes(cur, ch, "projects")):
+        assert "RLIKE" not in frame._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert sorted((r["seq"], r["verdict"]) for r in verdicts.collect()) == sorted(
+        (r["seq"], r["verdict"]) for r in C.validate_changes(cur, ch, "projects").collect())
+    assert [r["reason"] for r in verdicts.collect() if r["verdict"] == C.REJECTED] == [C.DUPLICATE]
